@@ -84,7 +84,7 @@ class DigestArray:
         bits = max(0, int(np.ceil(np.log2(max(1, rows.count()) / per_file))))
         shard = F.shiftrightunsigned("k", 64 - bits).cast("int") if bits else F.lit(0)
 
-        def save(keys, table: pa.Table) -> pa.Table:
+        def save(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             n = keys[0].as_py()
             k = table["k"].combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64)
             v = table["v"].combine_chunks()
