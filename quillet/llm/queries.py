@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, disclosure, packing, simhash, toxicity
+from . import chat_tree, decontaminate, disclosure, html_wrapper, packing, simhash, sparse_suffix, toxicity, url_filter, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +15,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.blocked(pages, url_filter.build(url_filter.spam_entries(pages)))
+
+
+def op2_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tree.forest(_table(spark, sf_dir, "conversations"))
+
+
+def op3_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op4_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return disclosure.sanitise(docs, disclosure.fit(docs))
 
 
+def op6_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse_suffix.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(_table(spark, sf_dir, "documents"))
 
@@ -38,8 +59,35 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_disclosure, op7_simhash, op8_toxicity, op9_decontaminate, op10_packing)}
+    all_ = (op1_url_filter, op2_chat_tree, op3_winnow, op4_html_wrapper, op5_disclosure, op6_sparse_suffix, op7_simhash, op8_toxicity, op9_decontaminate, op10_packing)
+    return {f.__name__: f for f in all_}
+
+
+#: The other operators can't be said in SQL (hashes, a tokenizer, inference or a search); their tests hold them against brute force.
+OP1_SQL = r"""
+WITH h AS (
+  SELECT page_id, url, html,
+    regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '^www\.', '') AS host,
+    regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/:?#]*(?::[^/@?#]*@[^/:?#]*)?([^#]*)', 1), '^:(80|443)($|[/?])', '\2') AS r0
+  FROM pages WHERE url IS NOT NULL
+), c AS (
+  SELECT page_id, url, html, host, host || regexp_replace(
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(r0, '([?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '\1', 'g'), '&&+', '&', 'g'), '\?&', '?', 'g'), '[?&]+$', ''),
+    '/+$', '') AS canon
+  FROM h WHERE host <> ''
+), e AS (
+  SELECT canon AS entry FROM c WHERE contains(html, '%%%')
+  UNION
+  SELECT host FROM c GROUP BY host HAVING avg(CASE WHEN contains(html, '%%%') THEN 1 ELSE 0 END) >= 0.2
+), l AS (
+  SELECT page_id, url, [canon] || list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')) AS cand
+  FROM c
+), u AS (
+  SELECT page_id, url, unnest(cand) AS entry, generate_subscripts(cand, 1) AS rank FROM l
+)
+SELECT page_id, url, arg_min(u.entry, rank) AS entry FROM u JOIN e ON u.entry = e.entry GROUP BY page_id, url
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": OP1_SQL}

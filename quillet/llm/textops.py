@@ -205,3 +205,15 @@ def lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
     off = np.zeros(len(sizes) + 1, np.int32)
     np.cumsum(sizes, out=off[1:])
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), values)
+
+
+class Ranges:
+    """Hashes of any ranges of a sequence of hashes, in constant time each."""
+
+    def __init__(self, h: np.ndarray):
+        self.total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * powers(_Q, len(h)), out=self.total[1:])
+        self.unit = powers(_Q_INV, len(h) + 1)
+
+    def hash(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mix((self.total[stop] - self.total[start]) * self.unit[start] + (stop - start).astype(np.uint64))
