@@ -30,3 +30,22 @@ def ensure(spark: SparkSession) -> None:
     at.write_bytes(data.getvalue())
     spark.sparkContext.addPyFile(str(at))
     _done.add(app)
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder that all executors see: under spark.checkpoint.dir, or a temporary one where that is unset on one machine."""
+    import uuid
+
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        parts = urlparse(configured)
+        if parts.scheme not in ("", "file"):
+            raise ValueError(f"a mounted shared folder is needed, not {parts.scheme}:")
+        root = parts.path
+    elif spark.sparkContext.master.startswith("local"):
+        root = tempfile.mkdtemp(prefix="quillet-")
+    else:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = Path(root) / f"{tag}-{uuid.uuid4().hex}"
+    path.mkdir(parents=True)
+    return str(path)
