@@ -8,9 +8,10 @@ long common beginnings next to each other, and once more by what stands before
 them; neighbours of different documents are compared.  Neighbours along one diagonal of two
 documents join into runs, which are extended word by word to the left and right.
 
-Extension needs no whole texts: past a run's last minimiser two documents can agree for less than
+Extension needs no whole texts: past a run's last minimiser two documents mostly agree for less than
 a window before they share another, so a second map over the documents emits the
-words next to the runs' ends and no more (the wanted places come from a memory-mapped digest array).
+words next to the runs' ends and no more (the wanted places come from a memory-mapped digest array); the few runs
+that go on, because their documents have other neighbours there, are looked at again, farther.
 
 Scale: shuffled are about one row of 44 bytes for 13 words, pairs of neighbours (linear in
 the suffixes: a passage in m documents yields m - 1 pairs in each order, not m * m), and ends of runs.
@@ -189,6 +190,33 @@ def _edges(docs: DataFrame, wanted: DigestArray, reach: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "run long, side int, words array<short>")
 
 
+#: Length of the common beginning of two arrays.
+_COMMON = "aggregate(sequence(1, greatest(least(size({x}), size({y})), 1)), 0, (n, i) -> if(n = i - 1 and i <= size({x}) and i <= size({y}) and try_element_at({x}, i) = try_element_at({y}, i), i, n))"
+
+
+def _extended(docs: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
+    """(a, b, shift, start, stop) of runs extended as far as the documents agree.
+
+    Nearly all runs end within `reach`; where neighbours change along a passage a run may go on, so those
+    that agree all the way are looked at again, eight times as far, until none is left.
+    """
+    done = None
+    while True:
+        side = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), d.alias("doc"), p.alias("at")) for n, d, p in ((0, F.col("a"), F.col("start")), (1, F.col("b"), F.col("start") + F.col("shift")), (2, F.col("a"), F.col("stop")), (3, F.col("b"), F.col("stop") + F.col("shift")))]))
+        asked = runs.select("run", side.alias("s")).select("s.doc", F.concat_ws(":", "run", "s.side", "s.at").alias("v"))
+        wanted = DigestArray.store(asked.groupBy("doc").agg(F.array_join(F.sort_array(F.collect_list("v")), ",").alias("v")), "doc", "v", "places", per_file=1 << 16)
+        piece = [F.first(F.when(F.col("side") == n, F.col("words")), ignorenulls=True).alias(f"w{n}") for n in range(4)]
+        ends = _edges(docs, wanted, reach).groupBy("run").agg(*piece)
+        ends = ends.select("run", F.expr(_COMMON.format(x="w0", y="w1")).alias("left"), F.expr(_COMMON.format(x="w2", y="w3")).alias("right"))
+        found = written(runs.join(ends, "run"), "extended")
+        stopped = found.where((F.col("left") < reach) & (F.col("right") < reach)).select("a", "b", "shift", (F.col("start") - F.col("left")).alias("start"), (F.col("stop") + F.col("right")).alias("stop"))
+        done = stopped if done is None else done.unionByName(stopped)
+        runs = found.where((F.col("left") >= reach) | (F.col("right") >= reach)).drop("left", "right")
+        if runs.isEmpty():
+            return done
+        reach *= 8
+
+
 def repeated_passages(documents: DataFrame, *, min_words: int = MIN_WORDS, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_a, doc_b, start_a, start_b, n_words) of the maximal passages of at least `min_words` words that neighbours share.
 
@@ -200,15 +228,7 @@ def repeated_passages(documents: DataFrame, *, min_words: int = MIN_WORDS, k: in
     docs = _documents(documents, id_col, text_col)
     pairs = neighbour_pairs(suffix_table(docs, k, window))
     runs = written(runs_of(pairs, k), "runs")
-    side = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), d.alias("doc"), p.alias("at")) for n, d, p in ((0, F.col("a"), F.col("start")), (1, F.col("b"), F.col("start") + F.col("shift")), (2, F.col("a"), F.col("stop")), (3, F.col("b"), F.col("stop") + F.col("shift")))]))
-    asked = runs.select("run", side.alias("s")).select("s.doc", F.concat_ws(":", "run", "s.side", "s.at").alias("v"))
-    wanted = DigestArray.store(asked.groupBy("doc").agg(F.array_join(F.sort_array(F.collect_list("v")), ",").alias("v")), "doc", "v", "places", per_file=1 << 16)
-    edges = _edges(docs, wanted, window + k)
-    piece = [F.first(F.when(F.col("side") == n, F.col("words")), ignorenulls=True).alias(f"w{n}") for n in range(4)]
-    ends = edges.groupBy("run").agg(*piece)
-    common = "aggregate(sequence(1, greatest(least(size({x}), size({y})), 1)), 0, (n, i) -> if(n = i - 1 and i <= size({x}) and i <= size({y}) and try_element_at({x}, i) = try_element_at({y}, i), i, n))"
-    ends = ends.select("run", F.expr(common.format(x="w0", y="w1")).alias("left"), F.expr(common.format(x="w2", y="w3")).alias("right"))
-    full = runs.join(ends, "run").select("a", "b", "shift", (F.col("start") - F.col("left")).alias("start"), (F.col("stop") + F.col("right")).alias("stop"))
+    full = _extended(docs, runs, window + k)
     # runs that met in extending are one
     found = _merged(full).where(F.col("stop") - F.col("start") >= min_words)
     names = docs.select("doc", "id").distinct()
