@@ -30,7 +30,9 @@ from .common import need
 from .textops import Words, char_index, chunks, flat, fold, lists, mix
 
 #: Bound of the labelled sample that the model is fitted on.
-TRAIN_DOCS = 6_000
+TRAIN_DOCS = 8_000
+#: Features are screened before fitting: in so many toxic documents at least, and so many times as frequent there as in others.
+MIN_TOXIC, MIN_RATIO = 3, 3.0
 #: Lengths, in bytes, of the words' beginnings that are features.
 PREFIXES = (3, 4, 5, 6, 7)
 
@@ -60,7 +62,7 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -50.0
     threshold: float = 0.5
-    #: F0.5 on the part of the sample that fitting didn't see.
+    #: F1 on the part of the sample that fitting didn't see.
     held_out: float = float("nan")
 
     def used(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,18 +154,18 @@ def _scorer(model: Model, sentences: bool):
     return score
 
 
-def fit_arrays(feature: np.ndarray, sentence: np.ndarray, doc_of: np.ndarray, y: np.ndarray, n_features: int, *, rounds: int = 250, l1: float = 5e-5, rate: float = 0.5) -> tuple[np.ndarray, float]:
-    """Weights and bias by proximal AdaGrad on the noisy-or likelihood of the documents."""
+def fit_arrays(feature: np.ndarray, sentence: np.ndarray, doc_of: np.ndarray, y: np.ndarray, start: np.ndarray, *, rounds: int = 400, l1: float = 2e-5, rate: float = 0.3) -> tuple[np.ndarray, float]:
+    """Weights and bias by proximal AdaGrad on the noisy-or likelihood of the documents, from the weights in `start`."""
     n = len(y)
     per_doc = max(1.0, len(doc_of) / max(1, n))
-    w, bias = np.zeros(n_features), -np.log(10 * per_doc)
-    seen_w, seen_b = np.full(n_features, 1e-8), 1e-8
+    w, bias = start.copy(), -np.log(10 * per_doc)
+    seen_w, seen_b = np.full(len(w), 1e-8), 1e-8
     for _ in range(rounds):
         z = np.bincount(sentence, w[feature], len(doc_of)) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         big = np.maximum(-np.expm1(np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), n)), 1e-9)
         slope = np.where(y > 0, -(1 - big) / big, 1.0)[doc_of] * p
-        gw, gb = np.bincount(feature, slope[sentence], n_features) / n, slope.sum() / n
+        gw, gb = np.bincount(feature, slope[sentence], len(w)) / n, slope.sum() / n
         seen_w += gw * gw
         seen_b += gb * gb
         step = rate / np.sqrt(seen_w)
@@ -173,48 +175,71 @@ def fit_arrays(feature: np.ndarray, sentence: np.ndarray, doc_of: np.ndarray, y:
     return w, float(bias)
 
 
+def _screen(parts, y: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features that are in at least MIN_TOXIC toxic documents and MIN_RATIO times as frequent there as elsewhere, and the logarithms of those ratios."""
+    total: dict[bool, list] = {True: [], False: []}
+    for h, doc in parts:
+        for toxic in (True, False):
+            sel = ((y[doc] > 0) == toxic) & used[doc]
+            pair = np.unique(np.stack([h[sel], doc[sel].astype(np.uint64)], 1), axis=0)
+            total[toxic].append(np.unique(pair[:, 0], return_counts=True))
+
+    def merged(found):
+        keys, inverse = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        return keys, np.bincount(inverse, np.concatenate([c for _, c in found]), len(keys))
+
+    keys, pos = merged(total[True])
+    keys, pos = keys[pos >= MIN_TOXIC], pos[pos >= MIN_TOXIC]
+    other, neg = merged(total[False])
+    at = np.minimum(np.searchsorted(other, keys), max(0, len(other) - 1))
+    neg = np.where(other[at] == keys, neg[at], 0) if len(other) else np.zeros(len(keys))
+    n_pos, n_neg = (y[used] > 0).sum(), (y[used] == 0).sum()
+    ratio = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
+    keep = ratio >= np.log(MIN_RATIO)
+    return keys[keep], ratio[keep]
+
+
 def _fit_table(table: pa.Table) -> Model:
     """The model of a table of (toxic, text)."""
     y = np.array(table["toxic"].to_pylist(), int)
     buf, off = flat(table["text"])
-    hashes, sentences, doc_of, base = [], [], [], 0
-    for a, b in chunks(off):
-        ends, h, sentence, _ = _instances(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-        first = _first_in_sentence(sentence, h)
-        hashes.append(h[first])
-        sentences.append(sentence[first] + base)
-        doc_of.append(np.minimum(np.searchsorted(off[a + 1 : b + 1] - off[a], ends, "left"), b - a - 1) + a)
-        base += len(ends)
-    if not hashes or not (0 < y.sum() < len(y)):
-        return Model()
-    h, sentence, doc_of = np.concatenate(hashes), np.concatenate(sentences), np.concatenate(doc_of)
-    keys, feature = np.unique(h, return_inverse=True)
-    del h, hashes
     held = np.arange(len(y)) % 4 == 3
-    used = ~held[doc_of[sentence]]
-    df = np.bincount(feature[used], minlength=len(keys))
-    common = df >= 3
-    slot = np.cumsum(common) - 1
-    keys, used = keys[common], used & common[feature]
-    train = np.flatnonzero(~held)
-    new_doc = np.cumsum(~held) - 1
-    in_train = ~held[doc_of]
-    new_sentence = np.cumsum(in_train) - 1
-    if not (0 < y[train].sum() < len(train)):
+    if not (0 < y[~held].sum() < (~held).sum()):
+        return Model()
+
+    def parts():
+        for a, b in chunks(off):
+            part, local = buf[off[a] : off[b]], off[a : b + 1] - off[a]
+            ends, h, sentence, _ = _instances(part, local)
+            yield h, sentence, np.minimum(np.searchsorted(local[1:], ends, "left"), b - a - 1) + a
+
+    keys, ratio = _screen(((h, doc[sentence]) for h, sentence, doc in parts()), y, ~held)
+    if not len(keys):
         return Model()
-    w, bias = fit_arrays(slot[feature[used]], new_sentence[sentence[used]], new_doc[doc_of[in_train]], y[train], len(keys))
+    known = Model(keys, np.arange(1.0, len(keys) + 1))
+    feature, sentences, doc_of, base = [], [], [], 0
+    for h, sentence, doc in parts():
+        i, slot = known.used(h)
+        once = _first_in_sentence(sentence[i], h[i])
+        feature.append(slot[once].astype(np.int64) - 1)
+        sentences.append(sentence[i[once]] + base)
+        doc_of.append(doc)
+        base += len(doc)
+    feature, sentence, doc_of = np.concatenate(feature), np.concatenate(sentences), np.concatenate(doc_of)
+    used, in_train = ~held[doc_of[sentence]], ~held[doc_of]
+    w, bias = fit_arrays(feature[used], (np.cumsum(in_train) - 1)[sentence[used]], (np.cumsum(~held) - 1)[doc_of[in_train]], y[~held], ratio / 2)
     model = Model(keys[w != 0], w[w != 0], bias)
     scores = np.concatenate([score_chunk(model, buf[off[a] : off[b]], off[a : b + 1] - off[a])[0] for a, b in chunks(off)])
     judged = held if 0 < y[held].sum() < held.sum() else ~held
     order = np.argsort(-scores[judged])
     s, hits = scores[judged][order], np.cumsum(y[judged][order])
     n, found = np.arange(1, len(s) + 1), y[judged].sum()
-    f = 1.25 * hits / (0.25 * found + n)
+    f = 2 * hits / (found + n)
     ends_run = np.append(s[:-1] > s[1:], True)
     best = int(np.argmax(np.where(ends_run, f, -1)))
     below = s[best + 1] if best + 1 < len(s) else 0.0
-    # between the two scores, but not so low that unseen documents without a single toxic word come near
-    model.threshold = float(np.clip((s[best] + below) / 2, 0.3, 0.95))
+    # between two scores, but where neither many words that mean nothing nor one that means all decides
+    model.threshold = float(np.clip((s[best] + below) / 2, 0.3, 0.7))
     model.held_out = float(f[best])
     return model
 
