@@ -27,12 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import need
+from .simhash import RADIUS, Forest, fingerprints
 from .textops import Words, char_index, chunks, flat, fold, lists, mix
 
 #: Bound of the labelled sample that the model is fitted on.
 TRAIN_DOCS = 8_000
 #: Features are screened before fitting: in so many toxic documents at least, and so many times as frequent there as in others.
-MIN_TOXIC, MIN_RATIO = 3, 3.0
+MIN_TOXIC, MIN_RATIO = 4, 3.0
 #: Lengths, in bytes, of the words' beginnings that are features.
 PREFIXES = (3, 4, 5, 6, 7)
 
@@ -199,8 +200,17 @@ def _screen(parts, y: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys[keep], ratio[keep]
 
 
+def _no_copies(text) -> np.ndarray:
+    """The documents that aren't near copies of an earlier one: the words of a text with many copies would all seem telling."""
+    buf, off = flat(text)
+    prints = [fingerprints(buf[off[a] : off[b]], off[a : b + 1] - off[a])[0] for a, b in chunks(off)]
+    later, _ = Forest(np.concatenate(prints), np.zeros(len(off) - 1, np.int64)).pairs(RADIUS)
+    return np.setdiff1d(np.arange(len(off) - 1), later)
+
+
 def _fit_table(table: pa.Table) -> Model:
     """The model of a table of (toxic, text)."""
+    table = table.take(pa.array(_no_copies(table["text"])))
     y = np.array(table["toxic"].to_pylist(), int)
     buf, off = flat(table["text"])
     held = np.arange(len(y)) % 4 == 3
