@@ -50,17 +50,18 @@ def markup(role, text):
 def _turns(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     rows = need(conversations, conv_col, turn_col, role_col, text_col).toDF("conv", "turn", "role", "text").where("conv is not null and turn is not null")
     rows = rows.select("conv", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.withColumn("digest", F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text")))
+    return rows.withColumn("digest", F.unhex(F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"))))
 
 
 def paths(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv, depth, turn, digest, node, parent, tree) for each turn; node is the digest of the turns so far."""
     rows = _turns(conversations, conv_col, turn_col, role_col, text_col)
     convs = rows.groupBy("conv").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "digest"))).alias("turns"))
+    link = lambda a, x: F.unhex(F.md5(F.concat(a["last"], x["digest"])))
     chain = F.aggregate(
         "turns",
-        F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("all")),
-        lambda a, x: F.struct(F.md5(F.concat(a["last"], x["digest"])).alias("last"), F.concat(a["all"], F.array(F.md5(F.concat(a["last"], x["digest"])))).alias("all")),
+        F.struct(F.lit("").cast("binary").alias("last"), F.array().cast("array<binary>").alias("all")),
+        lambda a, x: F.struct(link(a, x).alias("last"), F.concat(a["all"], F.array(link(a, x))).alias("all")),
         lambda a: a["all"],
     )
     each = convs.withColumn("nodes", chain).select("conv", "turns", "nodes", F.posexplode("nodes").alias("depth", "node"))
@@ -114,9 +115,9 @@ def forest(conversations: DataFrame, *, vocabulary: str = VOCABULARY, conv_col:
                         seen[-1]["stop"] += y["n"]
                     else:
                         seen.append({"start": y["start"], "stop": y["start"] + y["n"]})
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.string()), pa.array(out, pa.list_(pair))], ["node", "attention"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(out, pa.list_(pair))], ["node", "attention"])
 
-    seen = spans.mapInArrow(attention, "node string, attention array<struct<start:long,stop:long>>")
+    seen = spans.mapInArrow(attention, "node binary, attention array<struct<start:long,stop:long>>")
     ids = F.transform("tokens", lambda _, i: (F.col("position") + i).cast("int"))
     out = placed.drop("n").join(told, "node").join(seen, "node")
-    return out.select("tree", "node", "parent", "depth", F.col("conv").alias(conv_col), "n_conversations", "start", "tokens", ids.alias("position_ids"), "attention")
+    return out.select(*[F.lower(F.hex(c)).alias(c) for c in ("tree", "node", "parent")], "depth", F.col("conv").alias(conv_col), "n_conversations", "start", "tokens", ids.alias("position_ids"), "attention")
