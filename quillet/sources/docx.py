@@ -178,9 +178,10 @@ class DocumentReader:
         """The editable model of the body: paragraphs with runs, and tables with texts."""
         main = self.parts[0][1]
         urls = {r.id: r.target for r in self.package.rels(main) if r.external}
+        targets = {r.id: resolve(main, r.target) for r in self.package.rels(main) if not r.external}
         for x in self._blocks(self.root(main)):
             if local(x.tag) == "tbl":
-                yield {"kind": "table", "style": None, "list": None, "runs": None, "rows": self.grid(x)}
+                yield {"kind": "table", "style": None, "list": None, "runs": None, "rows": self.grid(x), "pictures": 0}
                 continue
             runs, url = [], None
 
@@ -201,7 +202,7 @@ class DocumentReader:
             visit(x, url, None)
             p = child(x, "pPr")
             number = child(child(p, "numPr"), "numId") if p is not None and child(p, "numPr") is not None else None
-            yield {"kind": "paragraph", "style": PARAGRAPH_STYLES.get(style_of(x) or "", "Normal"), "list": None if number is None else "number" if attribute(number, "val") == "2" else "bullet", "runs": runs, "rows": None}
+            yield {"kind": "paragraph", "style": PARAGRAPH_STYLES.get(style_of(x) or "", "Normal"), "list": None if number is None else "number" if attribute(number, "val") == "2" else "bullet", "runs": runs, "rows": None, "pictures": sum(1 for _ in self._pictures(x, "body", targets, "", (None, None, None)))}
 
 
 def style_of(paragraph) -> str | None:

@@ -202,12 +202,17 @@ class Document:
         """The editable model of a document: text, formats, lists and tables of its body."""
         from .docx import DocumentReader
 
-        doc = cls()
-        for b in DocumentReader(data, password=password).blocks():
+        doc, reader = cls(), DocumentReader(data, password=password, headers_and_footers=False)
+        pictures = [x for x in reader.images() if x["table"] is None]
+        for b in reader.blocks():
             if b["kind"] == "table":
                 doc.blocks.append(Table(max((len(r) for r in b["rows"]), default=0), [tuple(r) for r in b["rows"]]))
             else:
-                doc.blocks.append(Paragraph([Run(**r) for r in b["runs"]], b["style"], b["list"]))
+                p = Paragraph([Run(**r) for r in b["runs"]], b["style"], b["list"])
+                for x in pictures[: b["pictures"]]:
+                    p.image(Picture(x["content"], x["width_pt"] or None, x["height_pt"] or None, x["alt"]))
+                del pictures[: b["pictures"]]
+                doc.blocks.append(p)
         return doc
 
 
@@ -326,11 +331,11 @@ def drawing(rel: str, number: int, p: Picture) -> str:
     cx, cy = emu(w), emu(h)
     alt = f" descr={quoteattr(p.alt)}" if p.alt else ""
     graphic = f'<a:graphic><a:graphicData uri="http://schemas.openxmlformats.org/drawingml/2006/picture"><pic:pic><pic:nvPicPr><pic:cNvPr id="{number}" name="Picture {number}"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip r:embed="{rel}"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill><pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="{cx}" cy="{cy}"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr></pic:pic></a:graphicData></a:graphic>'
-    tail = f'<wp:extent cx="{cx}" cy="{cy}"/>{{wrap}}<wp:docPr id="{number}" name="Picture {number}"{alt}/>{graphic}'
+    tail = f'<wp:extent cx="{cx}" cy="{cy}"/>\0<wp:docPr id="{number}" name="Picture {number}"{alt}/>{graphic}'
     if p.floating is None:
-        return f'<w:drawing><wp:inline distT="0" distB="0" distL="0" distR="0">{tail.format(wrap="")}</wp:inline></w:drawing>'
+        return f'<w:drawing><wp:inline distT="0" distB="0" distL="0" distR="0">{tail.replace(chr(0), "")}</wp:inline></w:drawing>'
     x, y = (emu(v) for v in p.floating)
-    return f'<w:drawing><wp:anchor distT="0" distB="0" distL="0" distR="0" simplePos="0" relativeHeight="{number}" behindDoc="0" locked="0" layoutInCell="1" allowOverlap="1"><wp:simplePos x="0" y="0"/><wp:positionH relativeFrom="page"><wp:posOffset>{x}</wp:posOffset></wp:positionH><wp:positionV relativeFrom="page"><wp:posOffset>{y}</wp:posOffset></wp:positionV>{tail.format(wrap="<wp:wrapSquare wrapText=" + chr(34) + "bothSides" + chr(34) + "/>")}</wp:anchor></w:drawing>'
+    return f'<w:drawing><wp:anchor distT="0" distB="0" distL="0" distR="0" simplePos="0" relativeHeight="{number}" behindDoc="0" locked="0" layoutInCell="1" allowOverlap="1"><wp:simplePos x="0" y="0"/><wp:positionH relativeFrom="page"><wp:posOffset>{x}</wp:posOffset></wp:positionH><wp:positionV relativeFrom="page"><wp:posOffset>{y}</wp:posOffset></wp:positionV>{tail.replace(chr(0), '<wp:wrapSquare wrapText="bothSides"/>')}</wp:anchor></w:drawing>'
 
 
 def replace_all(text: str, values: Mapping[str, str]) -> str:

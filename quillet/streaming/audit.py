@@ -33,14 +33,22 @@ def null_sink(events: DataFrame, checkpoint: str):
     return events.writeStream.format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _watermarked(events: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream with a watermark, which needs a zoned time: one without a zone counts as the session's."""
+    if not events.isStreaming:
+        return events
+    zoned = events.withColumn(time, F.col(time).cast("timestamp")) if dict(events.dtypes)[time] == "timestamp_ntz" else events
+    return zoned.withWatermark(time, late)
+
+
 def windowed_counts(events: DataFrame, time: str, window: str, *, slide: str | None = None, late: str = "1 hour", by: tuple[str, ...] = ()) -> DataFrame:
     """(window_start, window_end, .., n) with a watermark where events are a stream."""
-    e = events.withWatermark(time, late) if events.isStreaming else events
+    e = _watermarked(events, time, late)
     w = F.window(time, window, slide) if slide else F.window(time, window)
     return e.groupBy(w.alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "n")
 
 
 def session_counts(events: DataFrame, time: str, gap: str, *, by: tuple[str, ...], late: str = "1 hour") -> DataFrame:
     """(session_start, session_end, .., n) of sessions that end after a gap."""
-    e = events.withWatermark(time, late) if events.isStreaming else events
+    e = _watermarked(events, time, late)
     return e.groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *by, "n")
