@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_used: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,8 +28,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+def fresh_path(spark: SparkSession, tag: str, *, keep: bool = False) -> str:
+    """A new path in the shared folder; release() deletes what is there unless it is to be kept."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if not keep:
+        _used.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables and arrays that this session's operators left in the shared folder; returns their number.
+
+    Results are lazy and read them: write a result first.
+    """
+    paths = _used.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
 
 
 def local_path(uri: str) -> str:
@@ -156,4 +174,4 @@ def signed(h: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(h).view(np.int64))
 
 
-__all__ = ["DigestArray", "fresh_path", "local_path", "need", "shared_dir", "signed", "written"]
+__all__ = ["DigestArray", "fresh_path", "local_path", "need", "release", "shared_dir", "signed", "written"]
