@@ -22,7 +22,7 @@ from quillet import ship
 from quillet.llm import decontaminate as decontamination
 from quillet.llm import disclosure, packing, simhash
 from quillet.llm import toxicity as mil
-from quillet.llm.common import fresh_path
+from quillet.llm.common import fresh_path, release
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = fresh_path(spark, f"stage-{name}")
+        path = fresh_path(spark, f"stage-{name}", keep=True)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release(spark)
     return docs
