@@ -1,11 +1,12 @@
 """Spreadsheet workbooks as DataFrames.
 
-``spark.read.format("xlsx")`` (after :func:`register`) has one partition for each file and sheet.  Options:
+``spark.read.format("xlsx")`` (after :func:`register`) has one partition for each file; files are opened by the tasks alone.  Options:
 
 * ``path``: file, folder or glob; ``sheet``: number from 1 or name in either case (default: all sheets in
   ``cells`` mode, the first in ``wide`` mode); ``header`` (true): the first row names the columns;
 * ``mode``: ``cells`` (default: long rows of typed cells), ``sheets`` (the sheets) or ``wide`` (one column for each header, taken
   as in the given schema: text, number, time or boolean, null where a cell can't be converted);
+* ``splitSheets`` (false): in ``cells`` mode a partition for each sheet, for which the driver opens the files;
 * ``autoDetectDates`` (true), ``maxPartBytes``, ``password``, ``failFast`` (false: a broken cell reference is skipped).
 
 :func:`read_binary` does the same for ``binaryFile`` rows, for file systems that only Spark can reach.
@@ -285,27 +286,27 @@ class XlsxReader(DataSourceReader):
         self.mode = self.options.get("mode", "cells")
 
     def partitions(self):
+        paths = _files(self.options["path"])
+        if self.mode != "cells" or self.options.get("sheet") or not _flag(self.options, "splitSheets", False):
+            return [_Part(p, None) for p in paths]
         out = []
-        for path in _files(self.options["path"]):
-            if self.mode == "sheets":
-                out.append(_Part(path, None))
-                continue
+        for path in paths:
             with open(path, "rb") as f:
-                book = _open(f.read(), self.options)
-            which = self.options.get("sheet") or ("1" if self.mode == "wide" else None)
-            out += [_Part(path, book.sheet(which))] if which else [_Part(path, i) for i in range(len(book.sheets))]
+                out += [_Part(path, i) for i in range(len(_open(f.read(), self.options).sheets))]
         return out
 
     def read(self, partition: _Part):
         with open(partition.path, "rb") as f:
             book = _open(f.read(), self.options)
         fail = _flag(self.options, "failFast", False)
+        which = self.options.get("sheet") or ("1" if self.mode == "wide" else None)
         if self.mode == "sheets":
             yield from ((partition.path, i + 1, n, p) for i, (n, p) in enumerate(book.sheets))
         elif self.mode == "cells":
-            yield from cell_rows(partition.path, book, partition.sheet, fail)
+            for i in [book.sheet(which)] if which else [partition.sheet] if partition.sheet is not None else range(len(book.sheets)):
+                yield from cell_rows(partition.path, book, i, fail)
         else:
-            yield from wide_rows(book, partition.sheet, self.schema, _flag(self.options, "header", True), fail)
+            yield from wide_rows(book, book.sheet(which), self.schema, _flag(self.options, "header", True), fail)
 
 
 class XlsxDataSource(DataSource):

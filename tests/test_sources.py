@@ -136,6 +136,10 @@ def test_wide_typed_and_sheets(spark, tmp_path):
     assert spark.read.format("xlsx").option("mode", "wide").option("header", "false").schema("a STRING, b STRING").load(path).count() == 4
     files = spark.read.format("binaryFile").load(path)
     assert xlsx.read_binary(files).count() == spark.read.format("xlsx").load(path).count() > 10
+    split = spark.read.format("xlsx").option("splitSheets", "true").load(path)
+    assert split.rdd.getNumPartitions() == 2 and split.count() == xlsx.read_binary(files).count()
+    with pytest.raises(Exception, match="no sheet"):
+        spark.read.format("xlsx").option("sheet", "nope").load(path).collect()
 
 
 def test_stress_rows(spark, tmp_path):
