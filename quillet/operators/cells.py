@@ -54,10 +54,22 @@ def number_rows(df: DataFrame, given: str, order: str, *, by: Sequence[str] = ()
     return x.withColumn(out, F.when(F.col("__block") == 0, n).otherwise(start + n - 1)).drop("__block")
 
 
+def dense_ids(df: DataFrame, order: str, *ties: str, out: str, buckets: int = 1024) -> DataFrame:
+    """df with ranks from 0 by a numeric column: rows are ranked within buckets of its range, and the buckets' sizes summed up, so no task sees all rows."""
+    ends = df.agg(F.min(order).cast("double").alias("__lo"), F.max(order).cast("double").alias("__hi"))
+    place = (F.col(order) - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1) * buckets
+    x = df.crossJoin(F.broadcast(ends)).withColumn("__b", F.least(F.floor(place), F.lit(buckets - 1)).cast("int")).drop("__lo", "__hi")  # one row
+    sizes = x.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__b", before.alias("__before"))  # a row for each bucket
+    rank = F.row_number().over(Window.partitionBy("__b").orderBy(order, *ties)) - 1
+    return x.join(F.broadcast(offsets), "__b").withColumn(out, (F.col("__before") + rank).cast("long")).drop("__b", "__before")
+
+
 def intern_strings(df: DataFrame, text: str, position: str | Column) -> DataFrame:
-    """(text, id): distinct strings, numbered from 0 by first use.  Ids are exact ranks from a range-partitioned sort."""
+    """(text, id): distinct strings, numbered from 0 by first use; the position is a number."""
     first = df.where(df[text].isNotNull()).groupBy(df[text].alias("text")).agg(F.min(position).alias("first"))
-    return first.select("text", (F.row_number().over(Window.orderBy("first", "text")) - 1).cast("long").alias("id"))
+    return dense_ids(first, "first", "text", out="id").select("text", "id")
 
 
 def string_counts(df: DataFrame, text: str, by: Sequence[str] = ()) -> DataFrame:
@@ -73,9 +85,9 @@ def resolve_strings(cells: DataFrame, strings: DataFrame) -> DataFrame:
 def intern_styles(df: DataFrame, style: Sequence[str], position: str) -> DataFrame:
     """df with style_id: equal combinations share a number, given by first use from 0."""
     key = F.struct(*style)
-    ids = df.groupBy(key.alias("__k")).agg(F.min(position).alias("__first")).select("__k", (F.row_number().over(Window.orderBy("__first")) - 1).alias("style_id"))
-    # a struct is never null itself, so equality of structs finds every row
-    return df.withColumn("__k", F.to_json(key)).join(ids.withColumn("__k", F.to_json("__k")), "__k", "left").drop("__k")
+    ids = df.groupBy(F.to_json(key).alias("__k")).agg(F.min(position).alias("__first"))
+    ids = dense_ids(ids, "__first", "__k", out="style_id").select("__k", "style_id")
+    return df.withColumn("__k", F.to_json(key)).join(ids, "__k", "left").drop("__k")
 
 
 def suffix_collisions(df: DataFrame, name: str, order: str, *, by: Sequence[str] = (), out: str = "file_name") -> DataFrame:

@@ -125,10 +125,13 @@ def _frame(df: DataFrame, column: str, by: Sequence[str], aggregates: list[Colum
     return df.join(stats, on, "left").drop(*[stats[c] for c in by])
 
 
-def color_scale(df: DataFrame, column: str, *, scale: str | tuple[str, str, str] = "RedWhiteGreen", by: Sequence[str] = (), position: str = "scale", color: str = "color") -> DataFrame:
-    """df with each value's place between minimum (0), median (0.5) and maximum (1), and the color there."""
+def color_scale(df: DataFrame, column: str, *, scale: str | tuple[str, str, str] = "RedWhiteGreen", by: Sequence[str] = (), position: str = "scale", color: str = "color", exact: bool = True) -> DataFrame:
+    """df with each value's place between minimum (0), median (0.5) and maximum (1), and the color there.
+
+    The exact median counts a group's distinct values in one task; exact=False has a sketch instead, for groups beyond a task's memory.
+    """
     low, middle, high = SCALES[scale] if isinstance(scale, str) else scale
-    x = _frame(df, column, by, [F.min(column).alias("__lo"), F.percentile(column, F.lit(0.5)).alias("__mid"), F.max(column).alias("__hi")])
+    x = _frame(df, column, by, [F.min(column).alias("__lo"), (F.percentile(column, F.lit(0.5)) if exact else F.percentile_approx(column, 0.5, 100_000)).alias("__mid"), F.max(column).alias("__hi")])
     v = F.col(column)
     below = F.when(F.col("__mid") > F.col("__lo"), (v - F.col("__lo")) / (F.col("__mid") - F.col("__lo")) / 2).otherwise(0.5)
     above = F.when(F.col("__hi") > F.col("__mid"), 0.5 + (v - F.col("__mid")) / (F.col("__hi") - F.col("__mid")) / 2).otherwise(0.5)

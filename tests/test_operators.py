@@ -32,6 +32,17 @@ def test_color_scale_ends_and_equal_values(spark):
     assert {r.bar for r in R.data_bar(spark.createDataFrame([(3.0,), (3.0,), (None,)], "v double"), "v").collect()} == {0.0, None}
 
 
+def test_dense_ids(spark):
+    import random
+
+    rng = random.Random(1)
+    values = [rng.choice([rng.randrange(-50, 50), rng.randrange(10**15)]) for _ in range(300)]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v long, i long")
+    got = sorted((r.id, r.v, r.i) for r in C.dense_ids(df, "v", "i", out="id").collect())
+    assert got == [(k, v, i) for k, (v, i) in enumerate(sorted((v, i) for i, v in enumerate(values)))]
+    assert C.dense_ids(df.limit(0), "v", out="id").count() == 0
+
+
 def test_caps_reject(spark):
     df = spark.createDataFrame([(1, 5), (2, 50)], "i long, size long")
     assert R.assert_within(df, "size", 50, "too large").count() == 2
