@@ -75,7 +75,8 @@ class Template:
             wide = one >= 0x80
             upper = ((one >= 65) & (one <= 90)) | ((one == 0xC3) & (two >= 0x80) & (two <= 0x9E))
             after = np.minimum(s + np.where(wide, 2, 1), len(buf) - 1)
-            lower = (e > after) & (s < after) & (low[after] == buf[after]) & ((buf[after] >= 97) | (buf[after] >= 0x80))
+            wider = np.minimum(after + 1, len(buf) - 1)
+            lower = (e > after) & (s < after) & (low[after] == buf[after]) & (buf[after] >= 97) & ((buf[after] < 0x80) | (low[wider] == buf[wider]))
             kind[upper & lower & ~opens & (kind == 0)] = 2
             first = np.ones(len(s), bool)
             first[1:] = ~((kind[1:] == kind[:-1]) & ((kind[1:] == 1) | (kind[1:] == 2)) & (owner[1:] == owner[:-1]))

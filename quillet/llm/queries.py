@@ -89,5 +89,58 @@ SELECT page_id, url, arg_min(u.entry, rank) AS entry FROM u JOIN e ON u.entry =
 """
 
 
+_IN_WORD = r"0-9A-Za-z\x{C0}-\x{1FFF}\x{2080}-\x{2FFF}\x{3040}-\x{10FFFF}"
+
+
+def _listed(words: str) -> str:
+    return ", ".join(f"'{w}'" for w in words.split())
+
+
+OP9_SQL = rf"""
+WITH t AS (
+  SELECT 'd' AS src, doc_id AS id, regexp_extract_all(text, '[^{_IN_WORD}]*[{_IN_WORD}]+') AS l FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(text, '[^{_IN_WORD}]*[{_IN_WORD}]+') FROM benchmark WHERE text IS NOT NULL
+), w AS (
+  SELECT src, id, i, piece, regexp_extract(piece, '^[^{_IN_WORD}]*') AS gap, regexp_extract(piece, '[{_IN_WORD}]+$') AS word
+  FROM (SELECT src, id, unnest(l) AS piece, unnest(range(1, len(l) + 1)) AS i FROM t)
+), k AS (
+  SELECT *, CASE
+    WHEN regexp_full_match(word, '[0-9]+') OR lower(word) IN ({_listed(decontaminate.NUMBERS)}) THEN 'NUM'
+    WHEN lower(word) IN ({_listed(decontaminate.UNITS)}) THEN 'UNIT'
+    WHEN i > 1 AND NOT regexp_matches(gap, '[.!?:\n]') AND regexp_matches(word, '^[A-Z\x{{C0}}-\x{{DE}}](?:[a-z]|[^\x00-\x{{DE}}])') THEN 'NAME' END AS kind
+  FROM w
+), g AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY src, id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g
+  FROM (SELECT *, CASE WHEN kind IN ('NUM', 'NAME') AND kind = lag(kind) OVER (PARTITION BY src, id ORDER BY i) THEN 0 ELSE 1 END AS fresh FROM k)
+), tok AS (
+  SELECT src, id, (g - 1)::BIGINT AS pos, CASE WHEN any_value(kind) IS NULL THEN lower(any_value(word)) ELSE any_value(kind) END AS token,
+    CASE WHEN any_value(kind) IS NOT NULL THEN lower(string_agg(CASE WHEN fresh = 1 THEN word ELSE piece END, '' ORDER BY i)) END AS slot
+  FROM g GROUP BY src, id, g
+), l8 AS (
+  SELECT src, id, pos, count(*) OVER (PARTITION BY src, id) AS n, list(token) OVER v AS tokens, list(slot) OVER v AS slots
+  FROM tok WINDOW v AS (PARTITION BY src, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)
+), bw AS (
+  SELECT id AS item, pos AS item_pos, n, least(n, 8) AS w, array_to_string(tokens[1:least(n, 8)], ' ') AS key, list_filter(slots[1:least(n, 8)], lambda x: x IS NOT NULL) AS item_slots
+  FROM l8 WHERE src = 'b' AND n >= 4 AND len(tokens) >= least(n, 8) AND len(list_filter(slots[1:least(n, 8)], lambda x: x IS NULL)) >= 0.5 * least(n, 8)
+), dw AS (
+  SELECT id, pos, w, array_to_string(tokens[1:w], ' ') AS key, list_filter(slots[1:w], lambda x: x IS NOT NULL) AS slots
+  FROM l8, (SELECT DISTINCT w FROM bw) WHERE src = 'd' AND len(tokens) >= w AND len(list_filter(slots[1:w], lambda x: x IS NULL)) >= 0.5 * w
+), m AS (
+  SELECT id, item, n, pos - item_pos AS shift, item_pos, w, item_slots, slots FROM dw JOIN bw USING (w, key)
+), z AS (
+  SELECT id, item, shift, count(DISTINCT (a, b)) = count(DISTINCT a) AND count(DISTINCT (a, b)) = count(DISTINCT b) AS sound, coalesce(bool_or(a <> b), false) AS differs
+  FROM (SELECT id, item, shift, unnest(item_slots) AS a, unnest(slots) AS b FROM m) GROUP BY ALL
+), p AS (
+  SELECT id, item, n, coalesce(sound, true) AND coalesce(differs, false) AS changed,
+    CASE WHEN coalesce(sound, true) OR len(item_slots) = 0 THEN range(item_pos, item_pos + w) ELSE [] END AS places
+  FROM m LEFT JOIN z USING (id, item, shift)
+)
+SELECT id AS doc_id, item AS item_id, len(list_distinct(flatten(list(places)))) AS covered, max(n) AS item_tokens, bool_or(changed) AS changed
+FROM p GROUP BY id, item
+HAVING len(list_distinct(flatten(list(places)))) >= least(13, ceil(max(n) / 2)) AND len(list_distinct(flatten(list(places)))) > 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL}
+    return {"op1_url_filter": OP1_SQL, "op9_decontaminate": OP9_SQL}
