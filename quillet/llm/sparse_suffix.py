@@ -83,53 +83,29 @@ def suffix_table(docs: DataFrame, k: int, window: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, _SUFFIX)
 
 
-def _neighbours(table: dict[str, np.ndarray]) -> list[np.ndarray]:
-    """(a, b, place in a, diagonal) of neighbours of two documents, in each of the two orders."""
-    out = []
-    h, doc, pos = table["h"], table["doc"], table["pos"].astype(np.int64)
-    more = np.zeros(len(h), bool)
-    same = h[1:] == h[:-1]
-    more[1:] |= same
-    more[:-1] |= same
-    index = np.flatnonzero(more)
-    for keys in (("r1", "r2", "r3"), ("l1", "l2")):
-        order = index[np.lexsort([pos[index], doc[index]] + [table[c][index] for c in reversed(keys)] + [h[index]])]
-        i, j = order[:-1], order[1:]
-        ok = (h[i] == h[j]) & (doc[i] != doc[j])
-        i, j = i[ok], j[ok]
-        swap = doc[i] > doc[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        out.append(np.stack([doc[i], doc[j], pos[i], pos[j] - pos[i]], 1))
-    both = np.concatenate(out)
-    return np.unique(both, axis=0) if len(both) else both
-
-
-def neighbour_pairs(rows: DataFrame, batch_rows: int = 500_000) -> DataFrame:
+def neighbour_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b, pos, shift) of neighbours of two documents in each of the two orders: place in a, and b's minus a's.
+
+    Sorting is Spark's, and spills; the comparison streams and keeps one row, so a passage that most documents hold fits as well.
+    """
+
     def compare(batches):
-        held, size = [], 0
+        last = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            held.append(batch)
-            size += len(batch)
-            if size < batch_rows:
+            h, doc, pos = (np.concatenate([x, batch[c].to_numpy(zero_copy_only=False).astype(np.int64)]) for x, c in zip(last, ("h", "doc", "pos")))
+            if not len(h):
                 continue
-            table = pa.Table.from_batches(held)
-            h = table["h"].to_numpy()
-            cut = int(np.searchsorted(h, h[-1], "left"))
-            if cut:
-                yield from emit(table.slice(0, cut))
-                rest = table.slice(cut)
-                held, size = rest.to_batches(), len(rest)
-        if held:
-            yield from emit(pa.Table.from_batches(held))
-
-    def emit(table):
-        found = _neighbours({c: table[c].to_numpy() for c in table.column_names})
-        if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2], pa.int32()), pa.array(found[:, 3], pa.int32())], ["a", "b", "pos", "shift"])
-
-    # the copies of a row that a table holds twice are one suffix
-    rows = rows.repartition("h").sortWithinPartitions("h")
-    return rows.mapInArrow(compare, "a long, b long, pos int, shift int")
+            i = np.flatnonzero((h[1:] == h[:-1]) & (doc[1:] != doc[:-1]))
+            last = [h[-1:], doc[-1:], pos[-1:]]
+            swap = doc[i] > doc[i + 1]
+            a, b = np.where(swap, i + 1, i), np.where(swap, i, i + 1)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(doc[b]), pa.array(pos[a], pa.int32()), pa.array(pos[b] - pos[a], pa.int32())], ["a", "b", "pos", "shift"])
+
+    # both orders take all columns, so that one shuffle serves both
+    spread = rows.repartition("h")
+    orders = [spread.sortWithinPartitions("h", *keys, "doc", "pos").mapInArrow(compare, "a long, b long, pos int, shift int") for keys in (("r1", "r2", "r3"), ("l1", "l2"))]
+    return orders[0].unionByName(orders[1])
 
 
 def runs_of(pairs: DataFrame, k: int) -> DataFrame:
