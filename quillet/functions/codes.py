@@ -9,7 +9,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["ANCHORS", "CONTENT_TYPES", "EMU_PER_POINT", "MARGINS", "PAPERS", "PARAGRAPH_STYLES", "content_type", "emu_to_points", "extension_for", "inches_to_points", "margins", "mm_to_points", "papers", "paragraph_style", "password_hash", "pixels_to_points", "points_to_emu", "points_to_twips", "scale_to_height", "scale_to_width"]
+__all__ = ["ALIGNMENTS", "ANCHORS", "CONTENT_TYPES", "EMU_PER_POINT", "ENUMS", "MARGINS", "PAPERS", "PARAGRAPH_STYLES", "alignments", "content_type", "emu_to_points", "enum_name", "extension_for", "inches_to_points", "margins", "mm_to_points", "papers", "paragraph_style", "password_hash", "pixels_to_points", "points_to_emu", "points_to_twips", "rotated", "scale_to_height", "scale_to_width"]
 
 EMU_PER_POINT = 12_700
 
@@ -22,6 +22,11 @@ PAPERS = {"A0": (841, 1189), "A1": (594, 841), "A2": (420, 594), "A3": (297, 420
 #: Left, top, right and bottom in inches.
 MARGINS = {"None": (0, 0, 0, 0), "Normal": (1, 1, 1, 1), "Narrow": (0.5, 0.5, 0.5, 0.5), "Wide": (2, 1, 2, 1)}
 
+#: Presets of a page's content alignment: horizontal and vertical, 0 at the left and top, 1 in the middle, 2 at the right and bottom.
+ALIGNMENTS = {f"{v}{h}": (i, j) for j, v in enumerate(("Top", "Middle", "Bottom")) for i, h in enumerate(("Left", "Center", "Right"))}
+#: Codes of print settings, in order from 0.
+ENUMS = {"duplex": ("Simplex", "LongEdge", "ShortEdge"), "color": ("Color", "Monochrome"), "orientation": ("Portrait", "Landscape"), "scale": ("Fit", "Actual", "Custom")}
+
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -100,6 +105,21 @@ def papers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, float(w), float(h)) for k, (w, h) in PAPERS.items()], "name string, w double, h double").select("name", mm_to_points("w").alias("width_pt"), mm_to_points("h").alias("height_pt"))
 
 
+def alignments(spark: SparkSession) -> DataFrame:
+    """(name, horizontal, vertical) of alignment presets."""
+    return spark.createDataFrame([(k, *v) for k, v in ALIGNMENTS.items()], "name string, horizontal int, vertical int")
+
+
+def enum_name(kind: str, code: str | Column) -> Column:
+    """The name of a print setting's code; null for others."""
+    return F.try_element_at(F.array(*[F.lit(x) for x in ENUMS[kind]]), F.when(_c(code) >= 0, _c(code) + 1).cast("int"))
+
+
+def rotated(width: str | Column, height: str | Column) -> Column:
+    """A paper's size turned by a quarter."""
+    return F.struct(_c(height).alias("width"), _c(width).alias("height"))
+
+
 def margins(spark: SparkSession) -> DataFrame:
     """(name, left_pt, top_pt, right_pt, bottom_pt) of margin presets."""
     return spark.createDataFrame([(k, *(72.0 * x for x in v)) for k, v in MARGINS.items()], "name string, left_pt double, top_pt double, right_pt double, bottom_pt double")

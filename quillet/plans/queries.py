@@ -372,6 +372,12 @@ def paper_sizes(s, d):
     return Q.papers(s).where("name in ('A4', 'Letter')").select("name", F.round("width_pt", 6).alias("width_pt"), F.round("height_pt", 6).alias("height_pt"))
 
 
+@query("SELECT 'MiddleCenter' AS name, 1 AS horizontal, 1 AS vertical, 'ShortEdge' AS duplex, 297.0 AS turned UNION ALL SELECT 'BottomLeft', 0, 2, NULL, 297.0")
+def print_codes(s, d):
+    x = Q.alignments(s).where("name in ('MiddleCenter', 'BottomLeft')")
+    return x.select("name", "horizontal", "vertical", Q.enum_name("duplex", F.when(F.col("vertical") == 1, 2).otherwise(9)).alias("duplex"), Q.rotated(F.lit(210.0), F.lit(297.0))["width"].alias("turned"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour AS window_end, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3")
 def events_per_hour(s, d):
     return windowed_counts(_t(s, d, "events"), "ts", "1 hour", by=("event_type",))
