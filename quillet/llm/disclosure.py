@@ -190,8 +190,10 @@ def disclosure_table(documents: DataFrame, *, min_support: int = MIN_SUPPORT, te
     pairs = held.join(known, "entity").select("entity", "n_e", "n", F.explode("terms").alias("term"))
     pairs = pairs.groupBy("entity", "n_e", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_support).drop("texts")
     pairs = written(pairs, "pairs")
-    wanted = DigestArray.store(pairs.select("term"), "term", None, "terms")
-    counts = _term_counts(documents, wanted, text_col)
+    if pairs.isEmpty():
+        counts = documents.sparkSession.createDataFrame([], "term long, n_t long")
+    else:
+        counts = _term_counts(documents, DigestArray.store(pairs.select("term"), "term", None, "terms"), text_col)
     total = documents.where(documents[text_col].isNotNull()).agg(F.count(F.lit(1)).alias("total"))
     rows = pairs.join(counts, "term").crossJoin(F.broadcast(total))  # one row
     share = F.log(F.col("n_et") * F.col("total") / (F.col("n_e") * F.col("n_t"))) / F.log(F.col("total") / F.col("n_e"))
