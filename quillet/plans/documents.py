@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.export import ExportPlan
 from ..ship import scratch
 from ..sources import archive, docx, docx_writer, envelope, xlsx, xlsx_writer
-from ..streaming import audit_lines, stream_audit, stream_cells
+from ..streaming import stream_audit, stream_cells
 from .queries import _t, query
 
 _ITEM = "l_returnflag STRING, l_linestatus STRING, quantity DOUBLE, price DOUBLE, shipped TIMESTAMP_NTZ, l_linenumber INT"
@@ -167,6 +167,3 @@ def stress_rows(n: int = 100_000):
     """The rows of the write benchmark."""
     for i in range(1, n + 1):
         yield i, f"Name {i}", (i * 7919) % 100 / 100, dt.datetime(2020, 1, 1) + dt.timedelta(days=i % 2000), i % 2 == 0, f"Category {i % 5}"
-
-
-__all__ = ["audit_lines", "stress_rows"]

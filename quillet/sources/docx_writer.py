@@ -438,20 +438,12 @@ def _fill_paragraph(p, values: Mapping[str, str], pictures: Mapping[str, Picture
 
 def fill_each(params: DataFrame, template: bytes, *, out: str = "document") -> DataFrame:
     """Mail merge: params with a document for each row, whose columns are the placeholders' values."""
-    names = params.columns
     handle = params.sparkSession.sparkContext.broadcast(template)  # one file, of the caller's choosing
 
-    def run(*columns: pa.Array) -> pa.Array:
-        rows = zip(*(c.to_pylist() for c in columns))
-        return pa.array([fill_template(handle.value, {n: "" if v is None else str(v) for n, v in zip(names, row)}) for row in rows], pa.binary())
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array([fill_template(handle.value, {n: "" if v is None else str(v) for n, v in r.items()}) for r in rows.to_pylist()], pa.binary())
 
-    return params.withColumn(out, F.arrow_udf(_spread(run, len(names)), "binary")(*[params[n] for n in names]))
-
-
-def _spread(run, n: int):
-    """run with n named arguments, as Arrow functions are told by their signature."""
-    names = ", ".join(f"c{i}" for i in range(n))
-    return eval(f"lambda {names}: run({names})", {"run": run})  # noqa: S307
+    return params.withColumn(out, F.arrow_udf(run, "binary")(F.struct(*[params[n] for n in params.columns])))
 
 
 def save_images(images: DataFrame, folder: str) -> None:
