@@ -13,8 +13,15 @@ from pyspark.sql import SparkSession
 _done: set[str] = set()
 
 
+#: Rows that go to a Python worker at once, where the session has Spark's own 10,000: texts and pages are long.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ensure(spark: SparkSession) -> None:
-    """Ships the package's source once for each application."""
+    """Ships the package's source once for each application, and bounds the memory of batches."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _done:
         return
