@@ -21,7 +21,7 @@ from .textops import chunks, flat, span_hash
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Segments that a worker remembers; beyond it forgets all, which costs time only.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 _encoders: dict = {}
 _counts: dict[str, dict[int, int]] = {}
