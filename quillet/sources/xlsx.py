@@ -128,22 +128,28 @@ class Workbook:
 
     def cells(self, index: int, fail_fast: bool = False) -> Iterator[tuple[int, int, str, object, str | None]]:
         """(row, column, kind, value, formula) of each cell that holds either, in the sheet's order."""
-        row = 0
+        row, columns = 0, {}
         for _, e in ElementTree.iterparse(io.BytesIO(self.package.read(self.sheets[index][1])), ("end",)):
-            if local(e.tag) != "row":
+            if not e.tag.endswith("row") or local(e.tag) != "row":
                 continue
             row = int(e.get("r") or row + 1)
             col = 0
             for c in e:
-                if local(c.tag) != "c":
+                if not c.tag.endswith("c") or local(c.tag) != "c":
                     continue
                 ref = c.get("r")
-                try:
-                    col = column_index(ref)[0] if ref else col + 1
-                except ValueError:
-                    if fail_fast:
-                        raise
-                    continue
+                if ref:
+                    letters = ref.rstrip("0123456789")
+                    if letters not in columns:
+                        try:
+                            columns[letters] = column_index(ref)[0]
+                        except ValueError:
+                            if fail_fast:
+                                raise
+                            continue
+                    col = columns[letters]
+                else:
+                    col += 1
                 kind, value, formula = self._cell(c)
                 if value is not None or formula is not None:
                     yield row, col, kind, value, formula
