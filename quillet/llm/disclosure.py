@@ -8,11 +8,14 @@ information -log p(e) that t discloses, with p by document counts.  Terms that
 disclose at least `generalise` become their class ([NUMBER], [NAME], [TERM]), those
 that disclose at least `remove` go.
 
-Only entities and pairs found in `min_support` distinct texts at least are estimated, since
-one text, and copies of it, show no association; entities themselves always go.
+Every entity is estimated.  A pair found in `min_support` distinct texts takes the estimate as it is; of a
+rarer one counts what its distinct texts show with 95 % confidence (copies of a text show no more than it does):
+the lower limit of a Poisson mean takes the place of their number.  Entities themselves always go.
 
 Scale: one map finds the entities (only texts with digits or @ are searched) and their
-documents' terms; pairs are counted with map-side combining, one row for each distinct text;
+documents' terms; pairs are counted with map-side combining, one row for each distinct text; entities in fewer
+than `min_support` texts have equal counts if they are in the same texts, so they are counted together,
+and a text full of such entities has one row for each term, not one for each entity and term;
 terms are counted in all documents by a map against a memory-mapped digest array; the
 sanitising map looks pairs up in another.  The text itself is never shuffled.
 
@@ -23,6 +26,7 @@ strictest decision.  Other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -105,7 +109,7 @@ class Disclosures:
         edits = [(a, b, f"[{kind}]") for a, b, kind in d.spans]
         generalised = removed = 0
         if self.pairs is not None and len(d.terms):
-            entities = np.unique(d.entities)
+            entities = np.unique(np.append(d.entities, np.uint64(_hash(text))))  # rare entities' terms are stored by text
             keys = (entities[:, None] ^ d.terms[None, :]).ravel()
             which, where = self.pairs.find(keys)
             action = np.zeros(len(d.terms), int)
@@ -123,7 +127,11 @@ class Disclosures:
         for a, b, new in sorted(edits):
             out += [text[at : max(a, at)], new]
             at = max(b, at)
-        return "".join(out) + text[at:], len(d.spans), generalised, removed
+        new = "".join(out) + text[at:]
+        while removed and (joined := entity_spans(new)):  # by what stood between
+            for a, b, kind in reversed(joined):
+                new = f"{new[:a]}[{kind}]{new[b:]}"
+        return new, len(d.spans), generalised, removed
 
     def __call__(self, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The sanitised column, and counts of entities, generalised and removed terms."""
@@ -182,13 +190,30 @@ def _term_counts(documents: DataFrame, wanted: DigestArray, text_col: str) -> Da
     return rows.groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosure_table(documents: DataFrame, *, min_support: int = MIN_SUPPORT, text_col: str = "text") -> DataFrame:
-    """(entity, term, n_e, n_t, n_et, share): hashes, document counts and the share of the entity's information that the term discloses."""
+def _lower_limit(n: int) -> float:
+    """The mean at which a Poisson count reaches n with probability 0.05."""
+    low, high = 0.0, float(n)
+    for _ in range(60):
+        mean = (low + high) / 2
+        fewer = sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(n))
+        low, high = (mean, high) if 1 - fewer < 0.05 else (low, mean)
+    return low
+
+
+def _estimates(documents: DataFrame, min_support: int, text_col: str) -> DataFrame:
+    """(keys, term, n_e, n_t, n_et, texts, share) of each entity and term that a text holds.
+
+    keys is the entity's hash, or, for all entities that are only in the same texts, fewer than `min_support`, those texts' hashes.
+    """
     bags = written(_bags(documents, text_col).groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms")), "bags")
     held = bags.select("content", "n", "terms", F.explode("entities").alias("entity"))
-    known = held.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_support).drop("texts")
-    pairs = held.join(known, "entity").select("entity", "n_e", "n", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "n_e", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_support).drop("texts")
+    known = held.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts"))
+    often = known.where(F.col("texts") >= min_support).drop("texts")
+    often = held.join(often, "entity").select(F.array("entity").alias("keys"), "n_e", "n", F.explode("terms").alias("term"))
+    rare = held.select("content", "entity").join(known.where(F.col("texts") < min_support).drop("texts"), "entity")
+    rare = rare.groupBy("entity", "n_e").agg(F.sort_array(F.collect_list("content")).alias("keys")).select("keys", "n_e").distinct()
+    rare = rare.withColumn("content", F.explode("keys")).join(bags.select("content", "n", "terms"), "content").select("keys", "n_e", "n", F.explode("terms").alias("term"))
+    pairs = often.unionByName(rare).groupBy("keys", "n_e", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts"))
     pairs = written(pairs, "pairs")
     if pairs.isEmpty():
         counts = documents.sparkSession.createDataFrame([], "term long, n_t long")
@@ -196,14 +221,23 @@ def disclosure_table(documents: DataFrame, *, min_support: int = MIN_SUPPORT, te
         counts = _term_counts(documents, DigestArray.store(pairs.select("term"), "term", None, "terms"), text_col)
     total = documents.where(documents[text_col].isNotNull()).agg(F.count(F.lit(1)).alias("total"))
     rows = pairs.join(counts, "term").crossJoin(F.broadcast(total))  # one row
-    share = F.log(F.col("n_et") * F.col("total") / (F.col("n_e") * F.col("n_t"))) / F.log(F.col("total") / F.col("n_e"))
-    return rows.select("entity", "term", "n_e", "n_t", "n_et", F.when(F.col("n_e") < F.col("total"), share).otherwise(0.0).alias("share"))
+    sure = F.lit(1.0)
+    for n in range(1, min_support):
+        sure = F.when(F.col("texts") == n, _lower_limit(n) / n).otherwise(sure)
+    share = F.log(F.col("n_et") * sure * F.col("total") / (F.col("n_e") * F.col("n_t"))) / F.log(F.col("total") / F.col("n_e"))
+    return rows.select("keys", "term", "n_e", "n_t", "n_et", "texts", F.when(F.col("n_e") < F.col("total"), share).otherwise(0.0).alias("share"))
+
+
+def disclosure_table(documents: DataFrame, *, min_support: int = MIN_SUPPORT, text_col: str = "text") -> DataFrame:
+    """(entity, term, n_e, n_t, n_et, share) of pairs in `min_support` texts: hashes, document counts and the share of the entity's information that the term discloses."""
+    rows = _estimates(documents, min_support, text_col).where(F.col("texts") >= min_support)
+    return rows.select(F.col("keys")[0].alias("entity"), "term", "n_e", "n_t", "n_et", "share")
 
 
 def fit(documents: DataFrame, *, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, text_col: str = "text") -> Disclosures:
     """Estimates, over all documents, which terms disclose which entities."""
-    table = disclosure_table(documents, min_support=min_support, text_col=text_col).where(F.col("share") >= generalise)
-    keys = table.select(F.col("entity").bitwiseXOR(F.col("term")).alias("key"), F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
+    table = _estimates(documents, min_support, text_col).where(F.col("share") >= generalise).withColumn("key", F.explode("keys"))
+    keys = table.select(F.col("key").bitwiseXOR(F.col("term")).alias("key"), F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
     return Disclosures(DigestArray.store(keys, "key", "action", "disclosures"))
 
 

@@ -98,3 +98,20 @@ def test_no_entity_is_left_in_the_tables(spark, small):
         assert r.entities or r.text == text[r.doc_id]
         changed += r.entities > 0
     assert changed > 10
+
+
+def test_what_stands_beside_an_entity_of_one_or_two_texts(spark):
+    """Rare terms beside an entity in fewer texts than the support disclose it; common ones don't."""
+    rows = [(i, f"filler{i % 50} common words are here") for i in range(3000)]
+    rows += [(3000, "common words: Quimby wrote from one@corp.example.com")]
+    rows += [(3001 + i, f"common words: Xanthippe {i} wrote with lantern from two@corp.example.com and three@corp.example.com") for i in range(2)]
+    rows += [(3003, "Quimbyless text: common words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in P.sanitise(df, P.fit(df)).collect()}
+    n = len(rows)
+    share = {k: math.log(low * n / (k * k)) / math.log(n / k) for k, low in ((1, 0.05129), (2, 0.35536))}
+    assert all(P.GENERALISE <= s < P.REMOVE for s in share.values())
+    assert "Quimby" not in out[3000].text and out[3000].text.startswith("common words: [NAME] ")
+    for i in (3001, 3002):
+        assert "Xanthippe" not in out[i].text and "lantern" not in out[i].text and "common words" in out[i].text
+    assert out[3003].text == rows[-1][1] and out[0].text == rows[0][1]
