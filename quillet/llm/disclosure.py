@@ -12,7 +12,7 @@ Every entity is estimated.  A pair found in `min_support` distinct texts takes t
 rarer one counts what its distinct texts show with 95 % confidence (copies of a text show no more than it does):
 the lower limit of a Poisson mean takes the place of their number.  Entities themselves always go.
 
-Scale: one map finds the entities (only texts with digits or @ are searched) and their
+Scale: one map finds the entities (only texts that can hold one are searched) and their
 documents' terms; pairs are counted with map-side combining, one row for each distinct text; entities in fewer
 than `min_support` texts have equal counts if they are in the same texts, so they are counted together,
 and a text full of such entities has one row for each term, not one for each entity and term;
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import DigestArray, need, signed, written
-from .textops import Words, chunks, flat, lists, span_hash
+from .textops import Words, chunks, flat, lists, runs, span_hash
 
 MIN_SUPPORT = 3
 GENERALISE = 0.6
@@ -64,11 +64,42 @@ def entity_spans(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), PATTERNS[int(m.lastgroup[1:])][0]) for m in _FIND.finditer(text)]
 
 
+#: What begins a key of few figures or none.  "sk-" counts at a word's beginning alone.
+_PREFIXES = (b"AKIA", b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_", b"xoxa-", b"xoxb-", b"xoxp-", b"eyJ", b"sk-")
+#: First bytes, in UTF-8, of the characters other than 0-9 that \d matches (and of many others).
+_WIDE = np.isin(np.arange(256), [0xD9, 0xDB, 0xDF, 0xE0, 0xE1, 0xEA, 0xEF, *range(0xF0, 0xF5)])
+#: Bytes of long tokens: [\w+/=-].
+_TOKEN = np.isin(np.arange(256), list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_+/=-")) | (np.arange(256) >= 0x80)
+
+
 def _candidates(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Documents that can hold an entity: with an @ or at least four figures."""
+    """Documents that can hold an entity: all those of which a pattern matches a part, and some others.
+
+    These hold an @, four figures, a figure that isn't ASCII, a key's prefix, a token of 32 bytes with a figure,
+    the beginning of an IBAN, or seven colons as close as those of an address.
+    """
+    figure = (buf >= 48) & (buf <= 57)
     count = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum(((buf >= 48) & (buf <= 57)) + np.int64(4) * (buf == 64), out=count[1:])
-    return np.flatnonzero(np.diff(count[off]) >= 4)
+    np.cumsum(figure + np.int64(4) * ((buf == 64) | _WIDE[buf]), out=count[1:])
+    found = np.diff(count[off]) >= 4
+    places = []
+    raw = buf.tobytes()
+    for prefix in _PREFIXES:
+        at = raw.find(prefix)
+        while at >= 0:
+            if prefix != b"sk-" or at == 0 or not (raw[at - 1 : at].isalnum() or raw[at - 1] == 95) or bool((off == at).any()):
+                places.append(at)
+            at = raw.find(prefix, at + 1)
+    starts, ends = runs(_TOKEN[buf], off)
+    figures = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(figure, out=figures[1:])
+    capital = (buf >= 65) & (buf <= 90)
+    colon = np.flatnonzero(buf == 58)
+    near = colon[:-6][colon[6:] - colon[:-6] <= 30] if len(colon) > 6 else colon[:0]
+    iban = np.flatnonzero(capital[:-3] & capital[1:-2] & figure[2:-1] & figure[3:]) if len(buf) > 3 else colon[:0]
+    places = np.concatenate([np.array(places, np.int64), starts[(ends - starts >= 32) & (figures[ends] > figures[starts])], near, iban])
+    found[np.searchsorted(off, places, "right") - 1] = True
+    return np.flatnonzero(found)
 
 
 def _hash(text: str) -> int:

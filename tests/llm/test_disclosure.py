@@ -115,3 +115,26 @@ def test_what_stands_beside_an_entity_of_one_or_two_texts(spark):
     for i in (3001, 3002):
         assert "Xanthippe" not in out[i].text and "lantern" not in out[i].text and "common words" in out[i].text
     assert out[3003].text == rows[-1][1] and out[0].text == rows[0][1]
+
+
+FEW_FIGURES = ["AKIA" + "QWERTYUIOPASDFGH", "ghp_" + "abcdefghij" * 4, "gho_" + "a" * 36, "ghu_" + "a" * 36, "ghs_" + "a" * 36, "ghr_" + "a" * 36, "sk-" + "abcdefghij" * 2, "xoxb-" + "abcdefghijkl", "xoxa-" + "abcdefghijkl", "xoxp-" + "abcdefghijkl",
+               "eyJhbGciOiJub" + ".abcdefghijkl" + ".xyz", "abcdefgh" * 4 + "7", "GB12ABCDEFGHIJKLMNOPQR", "abcd:ef:ab:cd:ef:aa:bb:cc", "٠٥٥ ١٢٣ ٤٥٦٧", "+९१२३४५६७८९", "４５３２ ０１５１ １２８３ ０３６６"]
+
+
+def test_entities_of_few_ascii_figures_are_found(spark):
+    rows = [(i, f"mine: {s} it is") for i, s in enumerate(FEW_FIGURES)] + [(100 + i, s) for i, s in enumerate(FEW_FIGURES)]
+    out = P.Disclosures()(P.pa.array([t for _, t in rows]))
+    for (_, t), new, n in zip(rows, out[0].to_pylist(), out[1][:, 0].tolist()):
+        assert len(P.entity_spans(t)) == 1 == n and new == "".join([t[: P.entity_spans(t)[0][0]], f"[{P.entity_spans(t)[0][2]}]", t[P.entity_spans(t)[0][1] :]])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.entities == 1 for r in P.sanitise(df, P.fit(df)).collect())
+    # every character that \d matches makes a candidate
+    other = [chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isdecimal()]
+    assert len(P._candidates(*P.flat(P.pa.array(other)))) == len(other) > 500
+    assert len(P._candidates(*P.flat(P.pa.array(["plain words", "", "in 199 a task-based risk-", "a:b:c:d"])))) == 0
+
+
+def test_texts_that_are_not_searched_hold_nothing(spark, small):
+    texts = [r.text for r in spark.read.parquet(f"{small}/../sf0.01/documents.parquet").select("text").collect() if r.text]
+    some = set(P._candidates(*P.flat(P.pa.array(texts))).tolist())
+    assert all(i in some or not P.entity_spans(t) for i, t in enumerate(texts))
