@@ -2,10 +2,11 @@
 
 Of each document's suffixes (by words) only those at minimisers are kept: places where the hash of the next
 `K` words is the least of `WINDOW` in a row.  The content alone selects them, so a passage of
-`K + WINDOW - 1` = 50 words has the same one in each document that holds it.  Suffixes are
-shuffled by that hash and sorted by hashes of 50, 100 and 200 words, which puts suffixes with
-long common beginnings next to each other, and once more by what stands before
-them; neighbours of different documents are compared.  Neighbours along one diagonal of two
+`K + WINDOW - 1` = 50 words has the same one in each document that holds it.  A suffix carries the
+hashes of the 50-word windows whose minimiser it is, so a window is in one suffix of each document.  Suffixes are
+shuffled by the hash of their K words; where several documents have one, windows are sorted, and
+neighbours with equal windows, of different documents, are paired.  However many documents share
+a line, and wherever they go on differently, documents with a common window are thus chained.  Pairs along one diagonal of two
 documents join into runs, which are extended word by word to the left and right.
 
 Extension needs no whole texts: past a run's last minimiser two documents mostly agree for less than
@@ -13,14 +14,15 @@ a window before they share another, so a second map over the documents emits the
 words next to the runs' ends and no more (the wanted places come from a memory-mapped digest array); the few runs
 that go on, because their documents have other neighbours there, are looked at again, farther.
 
-Scale: shuffled are about one row of 44 bytes for 13 words, pairs of neighbours (linear in
-the suffixes: a passage in m documents yields m - 1 pairs in each order, not m * m), and ends of runs.
+Scale: shuffled are about one row of 75 bytes for 13 words, pairs of neighbours (linear in
+the suffixes: a passage in m documents yields m - 1 pairs, not m * m), and ends of runs.  A hash in more than
+`GROUP` suffixes is not sorted in memory: its windows are shuffled once more, one by one.
 The text itself is never shuffled, and nothing is broadcast.
 
 Defined results: null and empty texts, null ids and texts of fewer than `min_words` words match
 nothing; a row that repeats id and text is the same document; two texts under one id are two documents
-with that id, and may match; of repeats of one suffix within a document the first counts.  Other columns are
-not looked at.
+with that id, and may match; all repeats within a document are looked at, and one of equal windows meets
+the next document's.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,38 +33,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import DigestArray, need, signed, written
-from .textops import Ranges, Words, chunks, flat, grams, lists, sliding_min, within
+from .textops import Words, chunks, flat, grams, lists, mix, sliding_min, within
 
 MIN_WORDS = 50
 K = 25
-#: Lengths, in words, of the beginnings that suffixes are sorted by, and of what precedes them.
-AHEAD, BEHIND = (50, 100, 200), (25, 75)
+#: Suffixes that are compared in memory at once.
+GROUP = 1 << 13
 
-_SUFFIX = "h long, r1 int, r2 int, r3 int, l1 int, l2 int, doc long, pos int"
+_SUFFIX = "h long, windows array<int>, doc long, pos int"
+_FOUND = "g long, a long, b long, pos int, shift int"
 
 
 def suffixes(buf: np.ndarray, off: np.ndarray, k: int, window: int):
-    """(hash, sort keys, document, place in words) of the kept suffixes of a chunk."""
+    """(hash, hashes of windows, their number, document, place in words) of the kept suffixes of a chunk."""
     w = Words(buf, off)
     h = grams(w.hash, k)
-    empty = np.zeros(0, np.int64)
-    if not len(h):
-        return np.zeros(0, np.uint64), np.zeros((5, 0), np.int32), empty, empty
     # short documents may have fewer runs than a window: they can't hold a passage of k + window - 1 words
-    picked = np.zeros(len(h), bool)
-    picked[sliding_min(h, window)[within(w.owner, k + window - 1)]] = True
-    at = np.flatnonzero(picked)
-    order = np.lexsort((at, h[at], w.owner[at]))
-    x, o = h[at][order], w.owner[at][order]
-    keep = np.ones(len(order), bool)
-    keep[1:] = (x[1:] != x[:-1]) | (o[1:] != o[:-1])
-    at = np.sort(at[order][keep])
+    i = np.flatnonzero(within(w.owner, k + window - 1))
+    if not len(i):
+        empty = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), empty, empty, empty
+    windows = (grams(w.hash, k + window - 1)[i] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    least = sliding_min(h, window)[i]
+    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    at = least[first]
     owner = w.owner[at]
-    ranges = Ranges(w.hash)
-    end, begin = w.first[owner + 1], w.first[owner]
-    keys = [ranges.hash(at, np.minimum(at + n, end)) for n in AHEAD] + [ranges.hash(np.maximum(at - n, begin), at) for n in BEHIND]
-    keys = np.stack([(key >> np.uint64(32)).astype(np.uint32).view(np.int32) for key in keys]) if len(at) else np.zeros((5, 0), np.int32)
-    return h[at], keys, owner, at - begin
+    return h[at], windows, np.diff(np.append(first, len(i))), owner, at - w.first[owner]
 
 
 def _documents(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -76,36 +72,91 @@ def suffix_table(docs: DataFrame, k: int, window: int) -> DataFrame:
             buf, off = flat(batch["text"])
             doc = batch["doc"].to_numpy(zero_copy_only=False)
             for a, b in chunks(off):
-                h, keys, owner, pos = suffixes(buf[off[a] : off[b]], off[a : b + 1] - off[a], k, window)
+                h, windows, sizes, owner, pos = suffixes(buf[off[a] : off[b]], off[a : b + 1] - off[a], k, window)
                 if len(h):
-                    yield pa.RecordBatch.from_arrays([signed(h), *(pa.array(key) for key in keys), pa.array(doc[owner + a]), pa.array(pos, pa.int32())], ["h", "r1", "r2", "r3", "l1", "l2", "doc", "pos"])
+                    yield pa.RecordBatch.from_arrays([signed(h), lists(pa.array(windows), sizes), pa.array(doc[owner + a]), pa.array(pos, pa.int32())], ["h", "windows", "doc", "pos"])
 
     return docs.select("doc", "text").mapInArrow(run, _SUFFIX)
 
 
-def neighbour_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, pos, shift) of neighbours of two documents in each of the two orders: place in a, and b's minus a's.
+def _window_keys(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, document, place of the suffix) of each window of the suffixes."""
+    windows = t["windows"].combine_chunks()
+    row = np.repeat(np.arange(len(t)), windows.value_lengths().to_numpy())
+    h = t["h"].to_numpy().view(np.uint64)
+    key = mix(h[row] + windows.flatten().to_numpy().view(np.uint32) * np.uint64(0x9E3779B97F4A7C15))
+    return key.view(np.int64), t["doc"].to_numpy()[row], t["pos"].to_numpy().astype(np.int64)[row]
 
-    Sorting is Spark's, and spills; the comparison streams and keeps one row, so a passage that most documents hold fits as well.
-    """
+
+def _neighbours(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Distinct rows (a, b, pos, shift) of neighbours of two documents with one key; rows are in order."""
+    i = np.flatnonzero((key[1:] == key[:-1]) & (doc[1:] != doc[:-1]))
+    swap = doc[i] > doc[i + 1]
+    a, b = np.where(swap, i + 1, i), np.where(swap, i, i + 1)
+    out = np.stack([doc[a], doc[b], pos[a], pos[b] - pos[a]], 1)
+    out = out[np.lexsort(out.T)]
+    return out[np.append(True, (out[1:] != out[:-1]).any(1))] if len(out) else out
+
+
+def neighbour_pairs(rows: DataFrame, *, group: int = GROUP) -> DataFrame:
+    """(a, b, pos, shift) of neighbours, in the order of documents, among those with a common window: the suffix's place in a, and b's minus a's."""
+
+    def batch_of(g, a, b, pos, shift):
+        return pa.RecordBatch.from_arrays([g, pa.array(a), b, pa.array(pos, pa.int32()), shift], ["g", "a", "b", "pos", "shift"])
+
+    def pairs(t):
+        h, doc = t["h"].to_numpy(), t["doc"].to_numpy()
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        size = np.diff(np.append(first, len(h)))
+        several = doc[first] != doc[first + size - 1]  # sorted by document
+        t = t.take(pa.array(np.flatnonzero(np.repeat(several, size))))
+        key, doc, pos = _window_keys(t)
+        order = np.lexsort((pos, doc, key))
+        out = _neighbours(key[order], doc[order], pos[order])
+        return batch_of(pa.nulls(len(out), pa.int64()), out[:, 0], pa.array(out[:, 1]), out[:, 2], pa.array(out[:, 3], pa.int32()))
+
+    def single(t):
+        key, doc, pos = _window_keys(t)
+        return batch_of(pa.array(key), doc, pa.nulls(len(key), pa.int64()), pos, pa.nulls(len(key), pa.int32()))
 
     def compare(batches):
-        last = [np.zeros(0, np.int64)] * 3
+        held, n, large = [], 0, None
         for batch in batches:
-            h, doc, pos = (np.concatenate([x, batch[c].to_numpy(zero_copy_only=False).astype(np.int64)]) for x, c in zip(last, ("h", "doc", "pos")))
-            if not len(h):
+            t = pa.Table.from_batches([batch])
+            if large is not None:
+                more = int(np.searchsorted(t["h"].to_numpy(), large, "right"))
+                if more:
+                    yield single(t.slice(0, more))
+                t = t.slice(more)
+            held, n = [*held, t], n + len(t)
+            if n < group:
                 continue
-            i = np.flatnonzero((h[1:] == h[:-1]) & (doc[1:] != doc[:-1]))
-            last = [h[-1:], doc[-1:], pos[-1:]]
-            swap = doc[i] > doc[i + 1]
-            a, b = np.where(swap, i + 1, i), np.where(swap, i, i + 1)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(doc[b]), pa.array(pos[a], pa.int32()), pa.array(pos[b] - pos[a], pa.int32())], ["a", "b", "pos", "shift"])
-
-    # both orders take all columns, so that one shuffle serves both
-    spread = rows.repartition("h")
-    orders = [spread.sortWithinPartitions("h", *keys, "doc", "pos").mapInArrow(compare, "a long, b long, pos int, shift int") for keys in (("r1", "r2", "r3"), ("l1", "l2"))]
-    return orders[0].unionByName(orders[1])
+            t = pa.concat_tables(held)
+            h = t["h"].to_numpy()
+            last = int(np.searchsorted(h, h[-1]))
+            if last:
+                yield pairs(t.slice(0, last))
+            else:
+                large = h[-1]
+                yield single(t)
+                last = n
+            held, n = [t.slice(last)], n - last
+        if n:
+            yield pairs(pa.concat_tables(held))
+
+    def compare_single(batches):
+        last = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            key, doc, pos = (np.concatenate([x, batch[c].to_numpy(zero_copy_only=False).astype(np.int64)]) for x, c in zip(last, ("g", "a", "pos")))
+            last = [key[-1:], doc[-1:], pos[-1:]]
+            out = _neighbours(key, doc, pos)
+            if len(out):
+                yield pa.RecordBatch.from_arrays([*(pa.array(out[:, c]) for c in (0, 1)), *(pa.array(out[:, c], pa.int32()) for c in (2, 3))], ["a", "b", "pos", "shift"])
+
+    found = written(rows.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(compare, _FOUND), "neighbours")
+    large = found.where("g is not null").select("g", "a", "pos").repartition("g").sortWithinPartitions("g", "a", "pos")
+    large = large.mapInArrow(compare_single, "a long, b long, pos int, shift int")
+    return found.where("g is null").select("a", "b", "pos", "shift").unionByName(large)
 
 
 def runs_of(pairs: DataFrame, k: int) -> DataFrame:

@@ -104,3 +104,36 @@ def test_edges(spark):
     assert got[(4, 5)] == 60_000
     assert set(got) <= {(4, 5), (6, 7), (7, 7)} and len(got) >= 2
     assert S.repeated_passages(df.limit(0)).count() == 0
+
+
+def linked(rows):
+    root = connected([(r.doc_a, r.doc_b) for r in rows])
+    return lambda docs: len({root(d) for d in docs}) == 1
+
+
+def test_a_crowded_line_hides_no_passage(spark):
+    """Few of many documents with a line share more around it, on either side or on both; crowds share one side alone."""
+    docs = {}
+    for case in range(12):
+        rng = random.Random(100 + case)
+        line, before, after = words(rng, 30), words(rng, 24), words(rng, 24)
+        for i in range(40):
+            docs[1000 * case + i] = words(rng, 40) + line + words(rng, 40)
+        for i in range(40, 80):  # 19 words of one side
+            docs[1000 * case + i] = words(rng, 40) + before[5:] + line + words(rng, 40) if i % 2 else words(rng, 40) + line + after[:19] + words(rng, 40)
+        left = 2 * case
+        for i in (7, 33, 61, 74):
+            docs[1000 * case + i] = words(rng, 40) + before[24 - left :] + line + after[: 22 - left] + words(rng, 40)
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    rows = S.repeated_passages(df).collect()
+    want = brute(docs, 50)
+    assert {(r.doc_a, r.doc_b) for r in rows} <= want
+    root = connected([(r.doc_a, r.doc_b) for r in rows])
+    assert all(root(a) == root(b) for a, b in want) and len(want) >= 12 * 6
+
+
+def test_groups_that_are_too_large_for_memory(spark):
+    docs = S._documents(spark.createDataFrame([(d, " ".join(w)) for d, w in corpus().items()], "doc_id long, text string"), "doc_id", "text")
+    table = S.suffix_table(docs, S.K, S.MIN_WORDS - S.K + 1)
+    want = {tuple(r) for r in S.neighbour_pairs(table).collect()}
+    assert {tuple(r) for r in S.neighbour_pairs(table, group=2).collect()} == want and len(want) > 20
