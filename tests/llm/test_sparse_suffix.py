@@ -137,3 +137,17 @@ def test_groups_that_are_too_large_for_memory(spark):
     table = S.suffix_table(docs, S.K, S.MIN_WORDS - S.K + 1)
     want = {tuple(r) for r in S.neighbour_pairs(table).collect()}
     assert {tuple(r) for r in S.neighbour_pairs(table, group=2).collect()} == want and len(want) > 20
+
+
+def test_a_repeat_within_a_document_hides_no_passage(spark):
+    """A notice early on and again inside the passage that two documents share."""
+    docs = {}
+    for case in range(12):
+        rng = random.Random(300 + case)
+        notice, passage = words(rng, 40), words(rng, 12)
+        passage = passage[: case + 1] + notice + passage[case + 1 :]
+        docs[2 * case] = words(rng, 20) + notice + words(rng, 60) + passage + words(rng, 20)
+        docs[2 * case + 1] = words(rng, 30) + passage + words(rng, 30)
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    got = {(r.doc_a, r.doc_b): r.n_words for r in S.repeated_passages(df).collect()}
+    assert got == {(2 * case, 2 * case + 1): 52 for case in range(12)}
