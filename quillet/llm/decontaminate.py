@@ -9,6 +9,8 @@ item the placeholders' values must then be consistent: one value of the item alw
 stands against one value of the document and the other way round.  That keeps
 re-parameterised questions ("Ann has 3 kg" / "Bob has 7 kg") and drops chance
 matches; of an inconsistent alignment only the windows without placeholders count.
+Windows with fewer words than `min_words`, and items of fewer than `MIN_ITEM` tokens, would match by chance as
+templates: they are joined on their words and values, so a verbatim copy counts, in any alignment.
 
 A document is contaminated by an item if the matched windows cover `min_cover`
 tokens of it, or half of the item if that is less.
@@ -17,8 +19,8 @@ Scale: the benchmark's window hashes are a digest array in the shared folder tha
 every task memory-maps, so documents are filtered in one map without a shuffle or a
 broadcast that grows; only windows with a known hash go on to the hash join.
 
-Defined results: null and empty texts and null ids match nothing; an item with fewer than
-`MIN_ITEM` tokens is not searched, one shorter than a window is searched whole; an item or a
+Defined results: null and empty texts and null ids match nothing; an item
+shorter than a window is searched whole, one of a single token only matches a document of that token; an item or a
 document in several rows counts as the union of its rows.  Other columns are not looked at.
 """
 
@@ -35,7 +37,7 @@ from .textops import Words, chunks, flat, fold, grams, lists, mix, span_hash, wi
 WINDOW = 8
 MIN_COVER = 13
 MIN_ITEM = 4
-#: Of a window's tokens, so many at least are words.
+#: Of a window's tokens, so many at least are words, or its values must be equal.
 MIN_WORDS = 0.5
 
 NUMBERS = "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
@@ -101,6 +103,22 @@ class Template:
         at = np.flatnonzero(ok)
         return at, grams(self.hash, width)[at]
 
+    def exact(self, width: int, min_words: float) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes of words and values) of the other windows that lie in one document."""
+        if len(self.hash) < width:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        ok = within(self.owner, width)
+        if width >= MIN_ITEM:
+            ok[self.windows(width, min_words)[0]] = False
+        elif width == 1:
+            ok &= np.diff(self.first)[self.owner] == 1
+        at = np.flatnonzero(ok)
+        return at, mix(~grams(self.value, width)[at])
+
+    def searched(self, width: int, min_words: float) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        """(places, hashes, whether values are left to be compared) of all windows."""
+        return ([(*self.windows(width, min_words), True)] if width >= MIN_ITEM else []) + [(*self.exact(width, min_words), False)]
+
     def slots(self, at: np.ndarray, width: int) -> pa.Array:
         """The values' hashes in each window, in order."""
         spread = (at[:, None] + np.arange(width)).ravel()
@@ -108,11 +126,11 @@ class Template:
         return lists(signed(self.value[spread[holds]]), holds.reshape(-1, width).sum(1) if len(at) else np.zeros(0, np.int64))
 
 
-def _rows(t: Template, ids: pa.Array, at: np.ndarray, h: np.ndarray, width: int) -> pa.RecordBatch:
+def _rows(t: Template, ids: pa.Array, at: np.ndarray, h: np.ndarray, width: int, open_: bool) -> pa.RecordBatch:
     owner = t.owner[at]
     n = np.diff(t.first)[owner]
     return pa.RecordBatch.from_arrays(
-        [signed(h), pa.array(np.full(len(at), width), pa.int32()), ids.take(pa.array(owner)), pa.array(at - t.first[owner], pa.int32()), pa.array(n, pa.int32()), t.slots(at, width)],
+        [signed(h), pa.array(np.full(len(at), width), pa.int32()), ids.take(pa.array(owner)), pa.array(at - t.first[owner], pa.int32()), pa.array(n, pa.int32()), t.slots(at, width) if open_ else lists(signed(h[:0]), np.zeros(len(at), np.int64))],
         ["hash", "width", "id", "pos", "n", "slots"],
     )
 
@@ -125,11 +143,11 @@ def benchmark_windows(benchmark: DataFrame, *, window: int, min_words: float, id
                 t = Template(buf[off[a] : off[b]], off[a : b + 1] - off[a])
                 n = np.diff(t.first)
                 ids = batch["id"].slice(a, b - a)
-                for width in range(MIN_ITEM, window + 1):
-                    at, h = t.windows(width, min_words)
-                    fits = n[t.owner[at]] >= window if width == window else n[t.owner[at]] == width
-                    if fits.any():
-                        yield _rows(t, ids, at[fits], h[fits], width)
+                for width in range(1, window + 1):
+                    for at, h, open_ in t.searched(width, min_words):
+                        fits = n[t.owner[at]] >= window if width == window else n[t.owner[at]] == width
+                        if fits.any():
+                            yield _rows(t, ids, at[fits], h[fits], width, open_)
 
     items = need(benchmark, id_col, text_col).toDF("id", "text").where("id is not null and text is not null")
     return items.mapInArrow(run, _ROW.format(kind=items.schema["id"].dataType.simpleString())).distinct()
@@ -150,10 +168,10 @@ def matches(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
             for a, b in chunks(off):
                 t = Template(buf[off[a] : off[b]], off[a : b + 1] - off[a])
                 for width in widths:
-                    at, h = t.windows(width, min_words)
-                    hit = digests.has(h)
-                    if hit.any():
-                        yield _rows(t, batch["id"].slice(a, b - a), at[hit], h[hit], width)
+                    for at, h, open_ in t.searched(width, min_words):
+                        hit = digests.has(h)
+                        if hit.any():
+                            yield _rows(t, batch["id"].slice(a, b - a), at[hit], h[hit], width, open_)
 
     docs = need(documents, id_col, text_col).toDF("id", "text").where("id is not null and text is not null")
     rows = docs.mapInArrow(run, _ROW.format(kind=docs.schema["id"].dataType.simpleString())).distinct()

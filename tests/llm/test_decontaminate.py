@@ -118,3 +118,13 @@ def test_like_a_loop_on_the_tables(spark, small):
     got = {(r.doc_id, r.item_id): r.covered for r in D.matches(d, b).collect()}
     want = naive([(r.doc_id, r.text) for r in d.collect()], [(r.item_id, r.text) for r in b.collect()])
     assert got == want and want
+
+
+def test_items_of_numbers_and_short_ones_match_verbatim(spark):
+    """Windows with few words and items of few tokens count where words and values are the same."""
+    dense = "Train A: 60 km 2 hours, 90 km 3 hours, 120 km 4 hours."
+    items = [(1, dense), (2, "What is 12 + 7?"), (3, "5 kg 7 kg 9 lb"), (4, "no"), (5, "prime 7")]
+    docs = [(1, f"one more. {dense} That was it"), (2, dense.replace("60", "61").replace("90", "91").replace("120", "121")), (3, "so, what is 12 + 7? tell me"), (4, "what is 12 + 8?"), (5, "take 5 kg 7 kg 9 lb of it"), (6, "no"), (7, "there is no way"), (8, "a prime 7 it is"), (9, "the prime 5")]
+    got = run(spark, docs, items)
+    assert set(got) == {(1, 1), (3, 2), (5, 3), (6, 4), (8, 5)}
+    assert not any(r.changed for r in got.values()) and all(r.covered == r.item_tokens for r in got.values())
