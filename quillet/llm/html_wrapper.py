@@ -14,8 +14,8 @@ with most of the pages isn't one task.  Wrappers and constant slots are memory-m
 is never shuffled.
 
 Defined results: null HTML, or HTML without text, has no fields (an empty list), also for an unknown
-host; pages without a host share the wrapper of host ''; a repeated page is extracted in each row; on a host's
-only page all slots are fields.  Comments, scripts and styles aren't text.  Other columns are not looked at.
+host; pages without a host share the wrapper of host ''; a repeated page is extracted in each row, but is one page
+of those that tell what is template; on a host's only page all slots are fields.  Comments, scripts and styles aren't text.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -330,7 +330,7 @@ def extract(pages: DataFrame, *, splits: int = SPLITS, id_col: str = "page_id",
     """
     inferred = written(wrappers(pages, splits=splits, id_col=id_col, url_col=url_col, html_col=html_col), "wrappers")
     known = DigestArray.store(inferred.select(F.xxhash64("host").alias("key"), F.to_json(F.struct("host", "wrapper")).alias("w")), "key", "w", "wrappers", per_file=1 << 12)
-    rows = _pages(pages, id_col, url_col, html_col).withColumn("key", F.xxhash64("host"))
+    rows = _pages(pages, id_col, url_col, html_col).withColumn("key", F.xxhash64("host")).withColumn("page", F.xxhash64("host", "html"))
     kind = rows.schema["id"].dataType.simpleString()
     pair = pa.struct([("slot", pa.string()), ("text", pa.string())])
 
@@ -350,11 +350,19 @@ def extract(pages: DataFrame, *, splits: int = SPLITS, id_col: str = "page_id",
                 got, ok = read(cache.get(host, []), parse(text)) if text is not None else ([], True)
                 fields.append([{"slot": s, "text": t} for s, t in got])
                 fine.append(ok)
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["host"], pa.array(fine), pa.array(fields, pa.list_(pair))], ["id", "host", "accepted", "fields"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["host"], batch["page"], pa.array(fine), pa.array(fields, pa.list_(pair))], ["id", "host", "page", "accepted", "fields"])
 
-    found = written(rows.mapInArrow(read_pages, f"id {kind}, host string, accepted boolean, fields array<struct<slot:string,text:string>>"), "fields")
-    each = found.select("host", "id", F.posexplode("fields").alias("n", "f")).select("host", F.col("f.slot").alias("slot"), F.xxhash64("f.text").alias("t"))
-    pages_of = found.groupBy("host").agg(F.count_if(F.size("fields") > 0).alias("pages"))
+    found = rows.mapInArrow(read_pages, f"id {kind}, host string, page long, accepted boolean, fields array<struct<slot:string,text:string>>")
+    found = written(found.withColumn("row", F.xxhash64(F.monotonically_increasing_id())), "fields")
+    # one row of each page, and one of equal texts of a slot in it
+    first = DigestArray.store(found.where(F.size("fields") > 0).groupBy("page").agg(F.min("row").alias("row")), "row", None, "pages")
+
+    def is_first(row: pa.Array) -> pa.Array:
+        return pa.array(first.has(row.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    once = found.where(F.arrow_udf(is_first, "boolean")("row"))
+    each = once.select("host", F.explode(F.array_distinct(F.transform("fields", lambda f: F.struct(f["slot"].alias("slot"), F.xxhash64(f["text"]).alias("t"))))).alias("f")).select("host", "f.slot", "f.t")
+    pages_of = once.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     same = each.groupBy("host", "slot").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo = hi")
     constant = same.join(pages_of, "host").where("pages > 1 and n >= pages")
     template = DigestArray.store(constant.select(F.xxhash64("host", "slot").alias("key")), "key", None, "template")

@@ -65,3 +65,14 @@ def test_whole_table_loses_no_text(spark, small):
         kept = [f.text for f in r.fields]
         it = iter(every)
         assert all(t in it for t in kept)
+
+
+def test_copies_of_a_page_are_one_page(spark):
+    """A host of copies keeps its content; repeats in a page don't make a text of half the pages template."""
+    copy = page("only", ["x"], ["y"])
+    rows = [(i, "http://copies.com/", copy) for i in range(3)]
+    rows += [(10 + i, f"http://some.com/{i}", "<body><h1>T%d</h1>%s<i>foot</i></body>" % (i, "<ul>" + "<li>new</li>" * 2 + "</ul>" if i % 2 else "")) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.text.split("\n") for r in H.extract(df).collect()}
+    assert all(out[i] == ["only", "x", "y", "Imprint"] for i in range(3))
+    assert [out[10 + i] for i in range(4)] == [["T0"], ["T1", "new", "new"], ["T2"], ["T3", "new", "new"]]
