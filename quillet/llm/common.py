@@ -62,7 +62,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table of written() that nothing reads any more."""
+    spark = table.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written_to)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def need(df: DataFrame, *columns: str) -> DataFrame:
@@ -174,4 +183,4 @@ def signed(h: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(h).view(np.int64))
 
 
-__all__ = ["DigestArray", "fresh_path", "local_path", "need", "release", "shared_dir", "signed", "written"]
+__all__ = ["DigestArray", "discard", "fresh_path", "local_path", "need", "release", "shared_dir", "signed", "written"]

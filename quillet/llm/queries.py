@@ -38,7 +38,7 @@ def op5_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse_suffix.repeated_passages(_table(spark, sf_dir, "documents"))
+    return sparse_suffix.by_document(sparse_suffix.repeated_passages(_table(spark, sf_dir, "documents")))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,8 +135,42 @@ def test_a_crowded_line_hides_no_passage(spark):
 def test_groups_that_are_too_large_for_memory(spark):
     docs = S._documents(spark.createDataFrame([(d, " ".join(w)) for d, w in corpus().items()], "doc_id long, text string"), "doc_id", "text")
     table = S.suffix_table(docs, S.K, S.MIN_WORDS - S.K + 1)
-    want = {tuple(r) for r in S.neighbour_pairs(table).collect()}
-    assert {tuple(r) for r in S.neighbour_pairs(table, group=2).collect()} == want and len(want) > 20
+    runs = lambda **k: {tuple(r) for r in S.runs_of(S.neighbour_pairs(table, S.MIN_WORDS, **k)).collect()}
+    want = runs()
+    assert runs(group=2) == runs(group=1) == want and len(want) > 20
+
+
+def test_a_passage_in_all_documents_is_cut_into_pieces(spark):
+    """More holders than a partition: the pieces are chained, by as many pairs."""
+    rng = random.Random(15)
+    passage = words(rng, 60)
+    df = spark.createDataFrame([(d, " ".join([f"a{d}", *passage, f"b{d}"])) for d in range(500)], "doc_id long, text string")
+    table = S.suffix_table(S._documents(df, "doc_id", "text"), S.K, S.MIN_WORDS - S.K + 1)
+    runs = S.runs_of(S.neighbour_pairs(table, S.MIN_WORDS, group=64)).collect()
+    root = connected([(r.a, r.b) for r in runs])
+    assert len({root(x) for r in runs for x in (r.a, r.b)}) == 1 and len({(r.a, r.b) for r in runs}) == 499
+
+
+def test_borders_are_exact(spark):
+    """Words whose hashes have the same top 16 bits differ all the same."""
+    rng = random.Random(21)
+    p = words(rng, 80)
+    hash_ = lambda w: int(S.Words(*S.flat(S.pa.array([w]))).hash[0]) >> 48
+    seen, twins = {}, None
+    for i in range(5000):
+        if twins is None and hash_(f"q{i}") in seen:
+            twins = seen[hash_(f"q{i}")], f"q{i}"
+        seen.setdefault(hash_(f"q{i}"), f"q{i}")
+    docs = {}
+    for n, (x, y) in enumerate([("q7", "q74"), twins]):
+        docs[10 * n] = [*words(rng, 30), x, *p[40 * n :], *p[: 40 * n], x, *words(rng, 30)]
+        docs[10 * n + 1] = [*words(rng, 30), y, *p[40 * n :], *p[: 40 * n], y, *words(rng, 30)]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    rows = S.repeated_passages(df).collect()
+    assert sorted((r.doc_a, r.doc_b, r.start_a, r.start_b, r.n_words) for r in rows) == [(0, 1, 31, 31, 80), (10, 11, 31, 31, 80)]
+    sides = {tuple(r) for r in S.by_document(S.repeated_passages(df)).collect()}
+    assert sides == {(a, 31, 80, b, 31) for a, b in ((0, 1), (1, 0), (10, 11), (11, 10))}
+    assert S.by_document(S.repeated_passages(df)).columns == ["doc_id", "start", "n_words", "other_id", "other_start"]
 
 
 def test_a_repeat_within_a_document_hides_no_passage(spark):
