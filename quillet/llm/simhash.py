@@ -10,7 +10,7 @@ BK-tree (children keyed by their integer distance to the parent), every fingerpr
 of the shard is a query, and a query at distance d from a node follows only the
 edges d - radius .. d + radius, so within a shard the search is exact.  A pair is
 missed only if it differs under every key: `tables` is chosen so that a pair at
-three quarters of the radius is met with probability `recall` at least.
+the radius itself, and so any nearer one, is met with probability `recall` at least, at every size of the corpus.
 
 Scale: the trees are not broadcast, since they grow with the corpus: each shard's
 tree is built where the shuffle puts the shard's rows, and queried there by those
@@ -23,9 +23,9 @@ Groups are the connected components of near copies (large-star / small-star, eac
 round a written table); the document with the least id stays.
 
 Defined results: a row with a null id, a null text or a text without a word takes no
-part (it is in no group and is kept); equal texts are always in one group; a row that
-repeats id and text is the same document, kept once; two texts under one id are two documents
-of that id, and the id stays if either stays.  Other columns are not looked at.
+part (it is in no group and is kept); equal texts are always in one group; rows that
+repeat an id with one fingerprint are one document, kept once, with the least text; texts of other fingerprints under that id are other documents,
+each in its own group: what goes is told by id and fingerprint.  Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import need, signed, written
@@ -144,7 +144,7 @@ def key_places(key_bits: int, tables: int) -> np.ndarray:
 def layout(n: int, radius: int, recall: float) -> tuple[int, int]:
     """(key_bits, tables) for n distinct fingerprints."""
     key_bits = 16 + max(0, math.ceil(math.log2(max(n, 1))) - 24)
-    p = (1 - 0.75 * radius / BITS) ** key_bits
+    p = (1 - radius / BITS) ** key_bits
     return key_bits, math.ceil(math.log(1 - recall) / math.log(1 - p))
 
 
@@ -155,15 +155,27 @@ def keys_of(points: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.stack([bits[:, p].astype(np.int64) @ weight for p in places], 1)
 
 
+def _prints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of a column of texts, and the numbers of their distinct words."""
+    buf, off = flat(texts)
+    fp, count = np.zeros((len(off) - 1, 2), np.uint64), np.zeros(len(off) - 1, np.int64)
+    for a, b in chunks(off):
+        fp[a:b], count[a:b] = fingerprints(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+    return fp, count
+
+
+def _print_column(texts: pa.Array) -> pa.Array:
+    """Fingerprints as structs of hi and lo, null where there is no word."""
+    fp, count = _prints(texts)
+    return pa.StructArray.from_arrays([signed(fp[:, 0]), signed(fp[:, 1])], ["hi", "lo"], mask=pa.array(count == 0))
+
+
 def fingerprint_table(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, hi, lo): one row for each document with a word."""
 
     def run(batches):
         for batch in batches:
-            buf, off = flat(batch["text"])
-            fp, count = np.zeros((len(off) - 1, 2), np.uint64), np.zeros(len(off) - 1, np.int64)
-            for a, b in chunks(off):
-                fp[a:b], count[a:b] = fingerprints(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+            fp, count = _prints(batch["text"])
             some = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(some)), signed(fp[some, 0]), signed(fp[some, 1])], ["id", "hi", "lo"])
 
@@ -183,24 +195,22 @@ def near_pairs(nodes: DataFrame, radius: int, n: int, recall: float) -> DataFram
             points = np.stack([batch[c].to_numpy(zero_copy_only=False).view(np.uint64) for c in ("hi", "lo")], 1)
             keys = keys_of(points, places)
             for t in range(tables):
-                yield pa.RecordBatch.from_arrays([pa.array((keys[:, t] << 8) | t), batch["rep"], batch["hi"], batch["lo"]], ["shard", "rep", "hi", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array((keys[:, t] << 16) | t), batch["rep"], batch["hi"], batch["lo"]], ["shard", "rep", "hi", "lo"])
 
     def search(batches):
-        held, size = [], 0
-        carry = None
+        held, size, last = [], 0, None
         for batch in batches:
-            held.append(batch)
-            size += len(batch)
-            if size < 200_000:
-                continue
-            table = pa.Table.from_batches(held)
-            shard = table["shard"].to_numpy()
-            cut = int(np.searchsorted(shard, shard[-1], "left"))
-            if cut == 0:
+            if not len(batch):
                 continue
-            yield from probe(table.slice(0, cut))
-            carry = table.slice(cut)
-            held, size = carry.to_batches(), len(carry)
+            shard = batch["shard"].to_numpy()
+            cut = int(np.searchsorted(shard, shard[-1]))  # the last shard may go on
+            if size + len(batch) >= 200_000 and held and (cut or shard[0] != last):
+                yield from probe(pa.Table.from_batches([*held, batch.slice(0, cut)] if cut else held))
+                held, size = [batch.slice(cut)], len(batch) - cut
+            else:
+                held.append(batch)
+                size += len(batch)
+            last = shard[-1]
         if held:
             yield from probe(pa.Table.from_batches(held))
 
@@ -215,7 +225,7 @@ def near_pairs(nodes: DataFrame, radius: int, n: int, recall: float) -> DataFram
         first = np.full(len(i), tables)
         for t in range(tables - 1, -1, -1):
             first[~differ[:, places[t]].any(1)] = t
-        own = first == (shard[i] & 255)
+        own = first == (shard[i] & 0xFFFF)
         i, j = i[own], j[own]
         rep = table["rep"].combine_chunks()
         d = distance(points[i], points[j])
@@ -246,34 +256,46 @@ def components(edges: DataFrame) -> DataFrame:
         edges = new
 
 
+def _grouped(documents: DataFrame, radius: int, recall: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, hi, lo, kept) of each document that is in a group of two or more; kept has the id and the fingerprint of the one that stays."""
+    docs = written(fingerprint_table(documents, id_col=id_col, text_col=text_col).distinct(), "prints")
+    nodes = docs.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    pairs = written(near_pairs(nodes.select(F.col("node").alias("rep"), "hi", "lo"), radius, nodes.count(), recall), "pairs")
+    roots = components(pairs)
+    roots = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
+    member = nodes.join(roots, "node", "left").where("n > 1 or root is not null")
+    member = member.select("hi", "lo", "id", "n", F.coalesce("root", "node").alias("root"))
+    kept = member.groupBy("root").agg(F.min(F.struct("id", "hi", "lo")).alias("kept"))
+    return docs.join(member.join(kept, "root").select("hi", "lo", "kept"), ["hi", "lo"]).select("id", "hi", "lo", "kept")
+
+
 def groups(documents: DataFrame, *, radius: int = RADIUS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id, distance) of each document that is in a group of two or more; keep_id is the least id of its group.
 
     `distance` is to the fingerprint of the document that stays; it may exceed the radius where near copies form a chain.
     """
-    prints = written(fingerprint_table(documents, id_col=id_col, text_col=text_col), "prints")
-    nodes = written(prints.groupBy("hi", "lo").agg(F.min("id").alias("rep")), "nodes")
-    # two texts under one id: the id names one node
-    pairs = written(near_pairs(nodes, radius, nodes.count(), recall), "pairs")
-    roots = components(pairs)
-    member = prints.join(nodes, ["hi", "lo"]).select("id", "rep", "hi", "lo")
-    member = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("id", "hi", "lo", F.coalesce("root", "rep").alias("keep"))
-    kept = nodes.groupBy(F.col("rep").alias("keep")).agg(F.min(F.struct("hi", "lo")).alias("k"))
-    grouped = member.join(kept, "keep")
-    bits = F.bit_count(F.col("hi").bitwiseXOR(F.col("k.hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("k.lo")))
-    rows = grouped.groupBy("id", "keep").agg(F.min(bits).alias("distance"))
-    sizes = rows.groupBy("keep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("keep")
-    return rows.join(sizes, "keep", "left_semi").select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("distance").cast("int").alias("distance"))
+    rows = _grouped(documents, radius, recall, id_col, text_col)
+    bits = F.bit_count(F.col("hi").bitwiseXOR(F.col("kept.hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("kept.lo")))
+    rows = rows.groupBy("id", F.col("kept.id").alias("keep")).agg(F.min(bits).cast("int").alias("distance"))
+    return rows.toDF(id_col, "keep_id", "distance")
 
 
 def drop_copies(documents: DataFrame, *, radius: int = RADIUS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, and all the others; columns stay, and a row that repeats id and text goes."""
-    found = written(groups(documents, radius=radius, recall=recall, id_col=id_col, text_col=text_col), "groups")
-    gone = found.where(F.col(id_col) != F.col("keep_id")).select(F.col(id_col).alias("__gone")).distinct()
-    left = documents.join(gone.hint("shuffle_hash"), documents[id_col] == F.col("__gone"), "left_anti")
-    again = written(documents.where(documents[id_col].isNotNull()).groupBy(documents[id_col].alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id"), "again")
+    """One document of each group, and all the others; columns stay, and a row that repeats an id and its fingerprint goes."""
+    found = _grouped(documents, radius, recall, id_col, text_col)
+    gone = written(found.where("id <> kept.id or hi <> kept.hi or lo <> kept.lo").select("id", "hi", "lo"), "gone")
+    again = documents.where(documents[id_col].isNotNull()).groupBy(documents[id_col].alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    again = written(again, "again")
     if again.isEmpty():
-        return left
-    once = left.join(again, left[id_col] == F.col("__id"), "left_anti")
-    more = left.join(again, left[id_col] == F.col("__id"), "left_semi")
-    return once.unionByName(more.dropDuplicates([id_col, text_col]))
+        return documents.join(gone.hint("shuffle_hash"), documents[id_col] == gone["id"], "left_anti")
+    # ids of several rows are told apart by fingerprint
+    some = gone.join(again, "id", "left_anti")
+    once = documents.join(again, documents[id_col] == again["id"], "left_anti")
+    once = once.join(some.hint("shuffle_hash"), once[id_col] == some["id"], "left_anti")
+    more = documents.join(again, documents[id_col] == again["id"], "left_semi")
+    more = more.select(F.struct("*").alias("row"), more[id_col].alias("id"), more[text_col].alias("text"), F.arrow_udf(_print_column, "struct<hi:long,lo:long>")(more[text_col]).alias("fp"))
+    more = more.join(gone.toDF("gone", "hi", "lo"), (F.col("id") == F.col("gone")) & (F.col("fp.hi") == F.col("hi")) & (F.col("fp.lo") == F.col("lo")), "left_anti")
+    place = F.row_number().over(Window.partitionBy("id", "fp").orderBy("text", F.to_json("row")))
+    more = more.withColumn("place", place).where("place = 1 or fp is null")
+    return once.union(more.select("row.*"))

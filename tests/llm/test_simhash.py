@@ -63,6 +63,10 @@ def test_recall_and_precision_against_brute_force(spark, small):
     got = {(r.a, r.b) for r in rows}
     assert got <= want and len(got) == len(rows)
     assert len(got) >= 0.9 * len(want) > 0
+    # also of the farthest ones
+    place = {x: i for i, x in enumerate(ids)}
+    far = {(a, b) for a, b in want if S.distance(points[place[a]], points[place[b]]) > 15}
+    assert len(got & far) >= 0.9 * len(far)
 
 
 def test_keys_widen_with_the_corpus():
@@ -70,6 +74,21 @@ def test_keys_widen_with_the_corpus():
     assert S.key_places(22, 30).shape == (30, 22)
     b, t = S.layout(1 << 30, 20, 0.9)
     assert 1 - (1 - (1 - 15 / 128) ** b) ** t >= 0.9
+    for n in (10, 1 << 24, 1 << 30, 1 << 35):
+        b, t = S.layout(n, 20, 0.9)
+        assert 1 - (1 - (1 - 20 / 128) ** b) ** t >= 0.9 and t < 1 << 16 and b <= 46
+
+
+def test_more_tables_than_a_byte_can_number(spark):
+    """A wide radius with a high recall takes hundreds of keys; each pair is still found, once."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, (30, 2), dtype=np.uint64)
+    points = np.concatenate([base, base ^ np.uint64(0x0101010101010101)])
+    assert S.layout(60, 40, 0.95)[1] > 255
+    df = spark.createDataFrame([(i, int(hi), int(lo)) for i, (hi, lo) in enumerate(points.view(np.int64))], "rep long, hi long, lo long")
+    got = sorted((r.a, r.b) for r in S.near_pairs(df, 40, 60, 0.95).collect())
+    want = [(i, j) for i in range(60) for j in range(i + 1, 60) if S.distance(points[i], points[j]) <= 40]
+    assert got == want and len(want) >= 30
 
 
 @pytest.mark.parametrize("seed", [0, 1])
@@ -119,3 +138,18 @@ def test_groups_and_drop(spark):
 def test_empty_table(spark):
     docs = documents(spark).limit(0)
     assert S.groups(docs).count() == 0 and S.drop_copies(docs).count() == 0
+
+
+def test_an_id_of_several_texts_loses_the_copies_alone(spark):
+    a, b, c = (" ".join(text(s)) for s in (1, 2, 3))
+    near = a.replace(a.split()[5], "changed")
+    rows = [(20, a, 1), (21, near, 2), (21, b, 3), (22, b, 4), (22, b, 5), (23, None, 6), (23, c, 7), (24, c, 8), (24, "", 9), (25, a + " x", 10), (25, a, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long").withColumns({c: F.lit(0) for c in ("__gone", "__id", "gone", "hi", "fp", "row", "place")})
+    left = S.drop_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted(r.n for r in left.collect()) == [1, 3, 6, 7, 9]
+    found = {(r.doc_id, r.keep_id) for r in S.groups(docs).collect()}
+    assert found == {(20, 20), (21, 20), (25, 20), (21, 21), (22, 21), (23, 23), (24, 23)}
+    # one id alone with near copies is a group, of which one text stays
+    own = spark.createDataFrame([(1, a), (1, near), (2, b)], "doc_id long, text string")
+    assert [tuple(r)[:2] for r in S.groups(own).collect()] == [(1, 1)] and S.drop_copies(own).count() == 2
