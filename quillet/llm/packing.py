@@ -85,12 +85,12 @@ _PACKED = "id {kind}, piece int, n int, owner long, bin string, position int, fi
 
 
 def pieces(documents: DataFrame, capacity: int, vocabulary: str, *, id_col: str, text_col: str) -> DataFrame:
-    """(id, piece, n, total) for each piece, one with n = 0 for a document without tokens."""
+    """(id, row, piece, n) for each piece, one with n = 0 for a document without tokens."""
     docs = need(documents, id_col, text_col).toDF("id", "text").select("id", token_count("text", vocabulary).alias("total"))
-    docs = written(docs, "tokens")
+    docs = written(docs.withColumn("row", F.monotonically_increasing_id()), "tokens")
     last = F.greatest(F.ceil(F.col("total") / capacity) - 1, F.lit(0)).cast("int")
-    rows = docs.select("id", "total", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    return rows.select("id", "piece", F.least(F.lit(capacity), F.col("total") - F.col("piece") * F.lit(capacity)).cast("int").alias("n"))
+    rows = docs.select("id", "row", "total", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    return rows.select("id", "row", "piece", F.least(F.lit(capacity), F.col("total") - F.col("piece") * F.lit(capacity)).cast("int").alias("n"))
 
 
 def _order(table: pa.Table) -> pa.Table:
@@ -137,7 +137,7 @@ def pack(documents: DataFrame, *, capacity: int = CAPACITY, vocabulary: str = VO
         k = keys[0].as_py()
         return _pack(table, capacity, k, f"0-{k}")
 
-    keyed = full.withColumn("owner", F.pmod(F.xxhash64("id", "piece"), F.lit(parts)))
+    keyed = full.withColumn("owner", F.pmod(F.xxhash64("id", "piece", "row"), F.lit(parts))).drop("row")  # rows of one id, or of none, are spread too
     now = written(keyed.groupBy("owner").applyInArrow(first, packed_type), "packed")
 
     def bound(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
