@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from urllib.parse import urlparse
 
 import numpy as np
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _used: dict[str, list[str]] = {}
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,23 +33,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str, *, keep: bool = False) -> str:
-    """A new path in the shared folder; release() deletes what is there unless it is to be kept."""
+    """A new path in the shared folder; the scope it is taken in, or else release(), deletes what is there unless it is to be kept."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     if not keep:
-        _used.setdefault(spark.sparkContext.applicationId, []).append(path)
+        inner = _scope.get()
+        (_used.setdefault(spark.sparkContext.applicationId, []) if inner is None else inner).append(path)
     return path
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes the tables and arrays that this session's operators left in the shared folder; returns their number.
-
-    Results are lazy and read them: write a result first.
-    """
-    paths = _used.pop(spark.sparkContext.applicationId, [])
+def delete(spark: SparkSession, *paths: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables and arrays that operators left since its beginning, and no others: write their results inside."""
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        delete(spark, *paths)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables and arrays that this session's operators left in the shared folder outside of scopes; returns their number.
+
+    Results are lazy and read them: write all results first, or take a scope for each.
+    """
+    paths = _used.pop(spark.sparkContext.applicationId, [])
+    delete(spark, *paths)
     return len(paths)
 
 
@@ -69,9 +90,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def discard(table: DataFrame) -> None:
     """Deletes a table of written() that nothing reads any more."""
-    spark = table.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written_to)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(table.sparkSession, table._written_to)
 
 
 def need(df: DataFrame, *columns: str) -> DataFrame:
@@ -99,14 +118,16 @@ class DigestArray:
 
     @classmethod
     def store(cls, df: DataFrame, key: str, value: str | None, tag: str, per_file: int = 1 << 20) -> DigestArray:
-        """df's bigint `key` (read as unsigned), with `value` (a string) if there is one.  Nulls in key are dropped."""
+        """df's bigint `key` (read as unsigned), with `value` (a bigint, or else as a string) if there is one.  Nulls in key are dropped."""
         from pyspark.sql import functions as F
 
+        numeric = value is not None and df.schema[value].dataType.simpleString() == "bigint"
+
         spark = df.sparkSession
         uri = fresh_path(spark, tag)
         folder = local_path(uri)
         os.makedirs(folder, exist_ok=True)
-        cols = [F.col(key).cast("long").alias("k"), (F.col(value) if value else F.lit(None)).cast("string").alias("v")]
+        cols = [F.col(key).cast("long").alias("k"), (F.col(value) if value else F.lit(None)).cast("bigint" if numeric else "string").alias("v")]
         rows = written(df.select(*cols).where("k is not null").distinct(), tag)
         bits = max(0, int(np.ceil(np.log2(max(1, rows.count()) / per_file))))
         shard = F.shiftrightunsigned("k", 64 - bits).cast("int") if bits else F.lit(0)
@@ -117,14 +138,17 @@ class DigestArray:
             v = table["v"].combine_chunks()
             order = np.argsort(k, kind="stable")
             k = k[order]
-            table = pa.table({"v": v.take(pa.array(order)).cast(pa.large_string())})
             temp = f"{folder}/.{n}-{uuid.uuid4().hex}"
-            np.save(temp + ".npy", k)
-            os.replace(temp + ".npy", f"{folder}/{n}.npy")
-            if value:
+            if numeric:
+                np.save(temp + ".npy", v.to_numpy(zero_copy_only=False)[order])
+                os.replace(temp + ".npy", f"{folder}/{n}.v.npy")
+            elif value:
+                table = pa.table({"v": v.take(pa.array(order)).cast(pa.large_string())})
                 with pa.OSFile(temp, "wb") as f, pa.ipc.new_file(f, table.schema) as w:
                     w.write_table(table.combine_chunks())
                 os.replace(temp, f"{folder}/{n}.arrow")
+            np.save(temp + ".npy", k)
+            os.replace(temp + ".npy", f"{folder}/{n}.npy")
             return pa.table({"shard": pa.array([n], pa.int32()), "n": pa.array([len(k)], pa.int64())})
 
         rows.withColumn("shard", shard).groupBy("shard").applyInArrow(save, "shard int, n long").write.format("noop").mode("overwrite").save()
@@ -137,7 +161,7 @@ class DigestArray:
                 self._maps[n] = (np.zeros(0, np.uint64), None)
             else:
                 values = f"{self.path}/{n}.arrow"
-                strings = None
+                strings = np.load(f"{self.path}/{n}.v.npy", mmap_mode="r") if os.path.exists(f"{self.path}/{n}.v.npy") else None
                 if os.path.exists(values):
                     strings = pa.ipc.open_file(pa.memory_map(values)).read_all()["v"].combine_chunks()
                 self._maps[n] = (np.load(at, mmap_mode="r"), strings)
@@ -177,10 +201,19 @@ class DigestArray:
                 out[i] = s
         return pa.array(out, pa.large_string())
 
+    def numbers(self, where: np.ndarray) -> np.ndarray:
+        """The stored numbers at positions of find()."""
+        out = np.zeros(len(where), np.int64)
+        shards = where >> 32
+        for n in np.unique(shards):
+            at = np.flatnonzero(shards == n)
+            out[at] = self._open(int(n))[1][where[at] & 0xFFFFFFFF]
+        return out
+
 
 def signed(h: np.ndarray) -> pa.Array:
     """uint64 hashes as a bigint column."""
     return pa.array(np.ascontiguousarray(h).view(np.int64))
 
 
-__all__ = ["DigestArray", "discard", "fresh_path", "local_path", "need", "release", "shared_dir", "signed", "written"]
+__all__ = ["DigestArray", "delete", "discard", "fresh_path", "local_path", "need", "release", "scope", "shared_dir", "signed", "written"]

@@ -17,7 +17,8 @@ documents' terms; pairs are counted with map-side combining, one row for each di
 than `min_support` texts have equal counts if they are in the same texts, so they are counted together,
 and a text full of such entities has one row for each term, not one for each entity and term;
 terms are counted in all documents by a map against a memory-mapped digest array; the
-sanitising map looks pairs up in another.  The text itself is never shuffled.
+sanitising map looks up in another what each entity's terms are, so that its work is linear in the text's
+words, entities and stored pairs.  The text itself is never shuffled.
 
 Defined results: null stays null, an empty text stays empty, a text without an entity is
 returned unchanged; every row counts, also a repeated one; a term next to several entities meets the
@@ -120,15 +121,15 @@ class _Document:
         chars = np.zeros(len(raw) + 1, np.int64)
         np.cumsum((raw & 0xC0) != 0x80, out=chars[1:])
         start, stop = chars[words.starts], chars[words.ends]
-        inside = np.zeros(len(start), bool)
-        for a, b, _ in self.spans:
-            inside |= (start < b) & (stop > a)
+        first, last = np.array([x[:2] for x in self.spans]).T  # in order, and apart
+        near = np.searchsorted(last, start, "right")  # the first span that ends behind the word's start
+        inside = (near < len(first)) & (first[np.minimum(near, len(first) - 1)] < stop)
         self.start, self.stop, self.terms = start[~inside], stop[~inside], words.hash[~inside]
 
 
 @dataclass
 class Disclosures:
-    """What the corpus says: a digest array of entity ^ term with the action, or None."""
+    """What the corpus says: a digest array of entities (or texts) and their terms, the lowest bit being the action, or None."""
 
     pairs: DigestArray | None = None
 
@@ -141,10 +142,11 @@ class Disclosures:
         generalised = removed = 0
         if self.pairs is not None and len(d.terms):
             entities = np.unique(np.append(d.entities, np.uint64(_hash(text))))  # rare entities' terms are stored by text
-            keys = (entities[:, None] ^ d.terms[None, :]).ravel()
-            which, where = self.pairs.find(keys)
-            action = np.zeros(len(d.terms), int)
-            np.maximum.at(action, which % len(d.terms), [2 if v == "remove" else 1 for v in self.pairs.values(where).to_pylist()] if len(where) else [])
+            told = np.unique(self.pairs.numbers(self.pairs.find(entities)[1]).view(np.uint64))
+            told = told[np.append(told[1:] >> np.uint64(1) != told[:-1] >> np.uint64(1), True)] if len(told) else told  # the stricter of two
+            at = np.searchsorted(told, d.terms | np.uint64(1), "right") - 1
+            known = (at >= 0) & (told[at] >> np.uint64(1) == d.terms >> np.uint64(1)) if len(told) else at >= 0
+            action = np.where(known, 1 + (told[at] & np.uint64(1)).astype(int) if len(told) else 0, 0)
             for i in np.flatnonzero(action).tolist():
                 a, b = int(d.start[i]), int(d.stop[i])
                 word = text[a:b]
@@ -246,10 +248,7 @@ def _estimates(documents: DataFrame, min_support: int, text_col: str) -> DataFra
     rare = rare.withColumn("content", F.explode("keys")).join(bags.select("content", "n", "terms"), "content").select("keys", "n_e", "n", F.explode("terms").alias("term"))
     pairs = often.unionByName(rare).groupBy("keys", "n_e", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts"))
     pairs = written(pairs, "pairs")
-    if pairs.isEmpty():
-        counts = documents.sparkSession.createDataFrame([], "term long, n_t long")
-    else:
-        counts = _term_counts(documents, DigestArray.store(pairs.select("term"), "term", None, "terms"), text_col)
+    counts = _term_counts(documents, DigestArray.store(pairs.select("term"), "term", None, "terms"), text_col)
     total = documents.where(documents[text_col].isNotNull()).agg(F.count(F.lit(1)).alias("total"))
     rows = pairs.join(counts, "term").crossJoin(F.broadcast(total))  # one row
     sure = F.lit(1.0)
@@ -268,8 +267,9 @@ def disclosure_table(documents: DataFrame, *, min_support: int = MIN_SUPPORT, te
 def fit(documents: DataFrame, *, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, text_col: str = "text") -> Disclosures:
     """Estimates, over all documents, which terms disclose which entities."""
     table = _estimates(documents, min_support, text_col).where(F.col("share") >= generalise).withColumn("key", F.explode("keys"))
-    keys = table.select(F.col("key").bitwiseXOR(F.col("term")).alias("key"), F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
-    return Disclosures(DigestArray.store(keys, "key", "action", "disclosures"))
+    action = F.when(F.col("share") >= remove, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    rows = table.select("key", F.col("term").bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(action).alias("term"))
+    return Disclosures(DigestArray.store(rows, "key", "term", "disclosures"))
 
 
 def sanitised_text(found: Disclosures, text: str | Column) -> Column:

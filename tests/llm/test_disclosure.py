@@ -138,3 +138,42 @@ def test_texts_that_are_not_searched_hold_nothing(spark, small):
     texts = [r.text for r in spark.read.parquet(f"{small}/../sf0.01/documents.parquet").select("text").collect() if r.text]
     some = set(P._candidates(*P.flat(P.pa.array(texts))).tolist())
     assert all(i in some or not P.entity_spans(t) for i, t in enumerate(texts))
+
+
+def test_many_entities_and_words_take_little_memory_and_time():
+    """An archive of 20,000 addresses and 200,000 words: the work is no product of both."""
+    import time
+    import tracemalloc
+
+    text = " ".join(f"user{i}@mail{i}.example.com said {' '.join(f'w{(7 * i + k) % 5000}' for k in range(10))}" for i in range(20_000))
+
+    class Pairs:
+        def find(self, keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def numbers(self, where):
+            return np.array([int(h) & ~1 | 1 for h in Words(np.frombuffer(b"w17", np.uint8), np.array([0, 3])).hash.view(np.int64)], np.int64)
+
+    tracemalloc.start()
+    began = time.time()
+    new, entities, generalised, removed = P.Disclosures(Pairs()).sanitise(text)
+    assert time.time() - began < 60 and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert entities == 20_000 and generalised == 0 and removed == text.split().count("w17") > 0 and "w17 " not in new and "w18 " in new
+
+
+def test_words_in_entities_like_a_loop(spark, small):
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        d = P._Document(r.text or "")
+        if d.spans:
+            raw = r.text.encode()
+            w = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            spans = [(len(raw[:a].decode()), len(raw[:b].decode())) for a, b in zip(w.starts, w.ends)]
+            assert list(zip(d.start, d.stop)) == [(a, b) for a, b in spans if not any(a < y and b > x for x, y, _ in d.spans)]
+
+
+def test_terms_are_generalised_on_the_tables(spark, small):
+    df = spark.read.parquet(f"{small}/../sf0.1/documents.parquet")
+    done = P.sanitise(df, P.fit(df)).agg(F.sum("entities").alias("e"), F.sum("generalised").alias("g"), F.sum("removed").alias("r"), F.count_if(F.col("entities") > 0).alias("n")).first()
+    print(done)
+    assert done.e > 500 and done.g + done.r > 500
