@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become sequences of template tokens: a number (digits, also written out), a
-name (a capitalised word inside a sentence) and a unit become the typed placeholders
+Texts become sequences of template tokens: a number (digits, also written out in English, German, French or Spanish), a
+name (a capitalised word inside a sentence) and a unit (of those languages) become the typed placeholders
 NUM, NAME and UNIT, neighbouring numbers and neighbouring names being one; any other
 word is itself.  Windows of `window` template tokens of the benchmark are
 hash-joined with those of the documents.  Along each alignment of a document with an
@@ -21,7 +21,8 @@ broadcast that grows; only windows with a known hash go on to the hash join.
 
 Defined results: null and empty texts and null ids match nothing; an item
 shorter than a window is searched whole, one of a single token only matches a document of that token; an item or a
-document in several rows counts as the union of its rows.  Other columns are not looked at.
+document in several rows counts as the union of its rows.  Other columns are not looked at, whatever their names.  German nouns are
+capitalised like names; they stand for NAME on both sides alike.
 """
 
 from __future__ import annotations
@@ -40,8 +41,19 @@ MIN_ITEM = 4
 #: Of a window's tokens, so many at least are words, or its values must be equal.
 MIN_WORDS = 0.5
 
-NUMBERS = "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
-UNITS = "mm cm m km inch inches foot feet yard yards mile miles g kg mg gram grams kilogram kilograms pound pounds lb lbs ounce ounces oz ton tons tonne tonnes ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents usd eur percent meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters mph kmh kph degree degrees celsius fahrenheit joule joules watt watts volt volts hz khz mhz ghz kb mb gb tb"
+#: Words that are nothing else in another of the four languages: not one, un, ein, neuf (new), elf, seize, once, dos, an (French year), livre, metro and the like.
+NUMBERS = " ".join((
+    "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion",
+    "zwei drei vier fünf sechs sieben acht neun zehn zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend millionen",
+    "zéro deux trois quatre cinq sept huit dix onze douze treize quatorze quinze vingt trente quarante cinquante soixante mille millions",
+    "cero tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil millón millones",
+))
+UNITS = " ".join((
+    "mm cm m km inch inches foot feet yard yards mile miles g kg mg gram grams kilogram kilograms pound pounds lb lbs ounce ounces oz ton tons tonne tonnes ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents usd eur percent meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters mph kmh kph degree degrees celsius fahrenheit joule joules watt watts volt volts hz khz mhz ghz kb mb gb tb",
+    "gramm kilogramm pfund tonnen sekunde sekunden minuten stunde stunden tage tagen woche wochen monat monate monaten jahr jahre jahren prozent zentimeter millimeter",
+    "gramme grammes kilogramme kilogrammes mètre mètres kilomètre kilomètres centimètre centimètres seconde secondes heure heures jour jours semaine semaines mois année années degré degrés",
+    "gramo gramos kilogramo kilogramos kilo kilos libra libras tonelada toneladas kilómetro kilómetros centímetro centímetros litro litros segundo segundos minuto minutos hora horas día días semana semanas meses año años grado grados",
+))
 
 _ROW = "hash long, width int, id {kind}, pos int, n int, slots array<long>"
 
@@ -191,5 +203,5 @@ def matches(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **kwargs) -> DataFrame:
     """The documents that no item contaminates; columns stay."""
-    found = written(matches(documents, benchmark, id_col=id_col, **kwargs).select(F.col(id_col).alias("__gone")).distinct(), "contaminated")
-    return documents.join(found, documents[id_col] == F.col("__gone"), "left_anti")
+    found = written(matches(documents, benchmark, id_col=id_col, **kwargs).select(F.col(id_col).alias("gone")).distinct(), "contaminated")
+    return documents.join(found, documents[id_col] == found["gone"], "left_anti")

@@ -118,16 +118,23 @@ WITH t AS (
     CASE WHEN any_value(kind) IS NOT NULL THEN lower(string_agg(CASE WHEN fresh = 1 THEN word ELSE piece END, '' ORDER BY i)) END AS slot
   FROM g GROUP BY src, id, g
 ), l8 AS (
-  SELECT src, id, pos, count(*) OVER (PARTITION BY src, id) AS n, list(token) OVER v AS tokens, list(slot) OVER v AS slots
+  SELECT src, id, pos, count(*) OVER (PARTITION BY src, id) AS n, list(token) OVER v AS tokens, list(slot) OVER v AS slots, list(coalesce(slot, token)) OVER v AS vals
   FROM tok WINDOW v AS (PARTITION BY src, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)
+), bo AS (
+  SELECT *, least(n, 8) AS w, n >= 4 AND len(list_filter(slots[1:least(n, 8)], lambda x: x IS NULL)) >= 0.5 * least(n, 8) AS loose FROM l8 WHERE src = 'b' AND len(tokens) >= least(n, 8)
 ), bw AS (
-  SELECT id AS item, pos AS item_pos, n, least(n, 8) AS w, array_to_string(tokens[1:least(n, 8)], ' ') AS key, list_filter(slots[1:least(n, 8)], lambda x: x IS NOT NULL) AS item_slots
-  FROM l8 WHERE src = 'b' AND n >= 4 AND len(tokens) >= least(n, 8) AND len(list_filter(slots[1:least(n, 8)], lambda x: x IS NULL)) >= 0.5 * least(n, 8)
+  SELECT id AS item, pos AS item_pos, n, w, loose, array_to_string(CASE WHEN loose THEN tokens[1:w] ELSE vals[1:w] END, chr(1)) AS key,
+    CASE WHEN loose THEN list_filter(slots[1:w], lambda x: x IS NOT NULL) ELSE [] END AS item_slots
+  FROM bo
+), do_ AS (
+  SELECT *, w >= 4 AND len(list_filter(slots[1:w], lambda x: x IS NULL)) >= 0.5 * w AS loose
+  FROM l8, (SELECT DISTINCT w FROM bw) WHERE src = 'd' AND len(tokens) >= w AND (w > 1 OR n = 1)
 ), dw AS (
-  SELECT id, pos, w, array_to_string(tokens[1:w], ' ') AS key, list_filter(slots[1:w], lambda x: x IS NOT NULL) AS slots
-  FROM l8, (SELECT DISTINCT w FROM bw) WHERE src = 'd' AND len(tokens) >= w AND len(list_filter(slots[1:w], lambda x: x IS NULL)) >= 0.5 * w
+  SELECT id, pos, w, loose, array_to_string(CASE WHEN loose THEN tokens[1:w] ELSE vals[1:w] END, chr(1)) AS key,
+    CASE WHEN loose THEN list_filter(slots[1:w], lambda x: x IS NOT NULL) ELSE [] END AS slots
+  FROM do_
 ), m AS (
-  SELECT id, item, n, pos - item_pos AS shift, item_pos, w, item_slots, slots FROM dw JOIN bw USING (w, key)
+  SELECT id, item, n, pos - item_pos AS shift, item_pos, w, item_slots, slots FROM dw JOIN bw USING (w, loose, key)
 ), z AS (
   SELECT id, item, shift, count(DISTINCT (a, b)) = count(DISTINCT a) AND count(DISTINCT (a, b)) = count(DISTINCT b) AS sound, coalesce(bool_or(a <> b), false) AS differs
   FROM (SELECT id, item, shift, unnest(item_slots) AS a, unnest(slots) AS b FROM m) GROUP BY ALL

@@ -128,3 +128,44 @@ def test_items_of_numbers_and_short_ones_match_verbatim(spark):
     got = run(spark, docs, items)
     assert set(got) == {(1, 1), (3, 2), (5, 3), (6, 4), (8, 5)}
     assert not any(r.changed for r in got.values()) and all(r.covered == r.item_tokens for r in got.values())
+
+
+def test_numbers_and_units_of_four_languages(spark):
+    items = [
+        (1, "Der alte Bauer fährt heute zwölf Kilometer und braucht dafür drei Stunden auf dem nassen Weg zu Hof und Feld"),
+        (2, "le vieux fermier marche douze kilomètres et il lui faut trois heures pour rentrer par la route humide"),
+        (3, "el viejo campesino camina doce kilómetros y necesita tres horas para volver por el camino mojado"),
+    ]
+    docs = [
+        (1, items[0][1].replace("zwölf", "zwanzig").replace("drei", "fünf")),
+        (2, items[1][1].replace("douze", "vingt").replace("trois", "7")),
+        (3, items[2][1].replace("doce", "15").replace("tres", "cuatro")),
+        (4, "el viejo campesino canta y luego duerme"),
+    ]
+    got = run(spark, docs, items)
+    assert set(got) == {(1, 1), (2, 2), (3, 3)} and all(r.changed for r in got.values())
+
+
+def test_columns_of_any_name_stay(spark):
+    d = spark.createDataFrame([(1, ITEMS[1][1]), (2, "clean text"), (None, None)], "doc_id long, text string").withColumns({c: F.lit(c) for c in ("__gone", "gone", "item_id", "hash")})
+    left = D.drop_contaminated(d, spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert left.columns == d.columns and sorted(str(r.doc_id) for r in left.collect()) == ["2", "None"]
+
+
+def test_sql_matches_dense_windows_and_short_items_too(spark, tmp_path):
+    """The SQL and the operator agree on verbatim windows."""
+    import duckdb
+
+    from quillet.llm import queries as Q
+
+    dense = "Train A: 60 km 2 hours, 90 km 3 hours, 120 km 4 hours."
+    items = [*ITEMS, (7, dense), (8, "What is 12 + 7?"), (9, "5 kg 7 kg 9 lb"), (10, "prime 7")]
+    docs = [(1, f"one more. {dense} That was it"), (2, dense.replace("60", "61").replace("90", "91")), (3, "so, what is 12 + 7? tell me"), (4, "what is 12 + 8?"), (5, "take 5 kg 7 kg 9 lb of it"), (6, "no"), (7, "there is no way"), (8, "a prime 7 it is"), (9, reworded()), (10, "a tiny little item here"), (11, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(c.execute(Q.OP9_SQL).fetchall())
+    got = sorted(tuple(r) for r in Q.op9_decontaminate(spark, str(tmp_path)).collect())
+    assert got == want and {(d, i) for d, i, *_ in got} == {(1, 7), (3, 8), (5, 9), (6, 5), (8, 10), (9, 1), (10, 4)}
