@@ -10,7 +10,9 @@ of documents:
 4. pii: entities and terms that disclose them are masked in `text`, and `n_chars` follows;
 5. pack: token pieces with their bins.
 
-Rows with a null id or text pass the first four stages unchanged.
+A null text passes the first four stages unchanged.  A row with a null id is judged by its text in toxicity, and may go; it is no copy and no
+leak, so near_dedup and decontaminate keep it; pii masks it like any other.  Repeated rows are one document after near_dedup.  Each stage's tables and
+its predecessor's result are deleted once its own result is written; the last result stays in the shared folder, since the returned DataFrame reads it.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from quillet import ship
 from quillet.llm import decontaminate as decontamination
 from quillet.llm import disclosure, packing, simhash
 from quillet.llm import toxicity as mil
-from quillet.llm.common import fresh_path, release
+from quillet.llm.common import delete, fresh_path, scope
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name}", keep=True)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        release(spark)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
