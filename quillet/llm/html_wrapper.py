@@ -8,14 +8,15 @@ result, the host's wrapper, is a regular expression without unions, made of tags
 optional and repeated groups.  Every page is then read by its host's wrapper; slots whose text is
 the same on all of a host's pages are template, the others are the page's fields.
 
-Scale: tokenising and folding are a map; only distinct folded shapes go on to alignment,
-for a host in up to `SPLITS` partial wrappers first, which are aligned in turn, so that a host
-with most of the pages isn't one task.  Wrappers and constant slots are memory-mapped digest arrays; the HTML
-is never shuffled.
+Scale: tokenising and folding are a map; only distinct folded shapes go on to alignment, some
+`FAN_IN` at a time, round after round until each host has one wrapper: a tree whose width follows the number of shapes, so that a host
+with most of the pages is many tasks.  Wrappers and constant slots are memory-mapped digest arrays; the HTML
+is never shuffled, and nothing is broadcast.
 
 Defined results: null HTML, or HTML without text, has no fields (an empty list), also for an unknown
 host; pages without a host share the wrapper of host ''; a repeated page is extracted in each row, but is one page
-of those that tell what is template; on a host's only page all slots are fields.  Comments, scripts and styles aren't text.  Other columns are not looked at.
+of those that tell what is template; on a host's only page all slots are fields.  As in browsers, elements nested deeper than
+`MAX_DEPTH` are taken as one after another in the last one, so none of their text is lost.  Comments, scripts and styles aren't text.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from __future__ import annotations
 import html as _html
 import json
 import re
+import sys
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import DigestArray, need, written
 
-SPLITS = 64
+#: Shapes that are aligned by one task, on average.
+FAN_IN = 32
+#: Levels of elements in elements.
+MAX_DEPTH = 200
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:\-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,6 +53,9 @@ def parse(text: str) -> list:
     """The nested stream of a page: tags ["t", name, children] and texts ["#", text]."""
     root: list = []
     stack: list[tuple[str, list]] = [("", root)]
+    deeper: list[str] = []  # open elements beyond the last level
+    open_: Counter = Counter()
+    written_: list[list] = []
     for m in _TOKEN.finditer(text):
         end, name, attributes, words = m.group(2), m.group(3), m.group(4), m.group(5)
         if words is not None:
@@ -54,21 +63,29 @@ def parse(text: str) -> list:
             if words:
                 here = stack[-1][1]
                 if here and here[-1][0] == TEXT:
-                    here[-1][1] += " " + words
+                    here[-1][1].append(words)
                 else:
-                    here.append([TEXT, words])
+                    here.append([TEXT, [words]])
+                    written_.append(here[-1])
         elif name is not None:
             name = name.lower()
             if end:
+                if open_[name]:
+                    while (x := deeper.pop()) != name:
+                        open_[x] -= 1
+                    open_[name] -= 1
+                    continue
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == name:
                         del stack[i:]
+                        deeper.clear()
+                        open_.clear()
                         break
                     if stack[i][0] in _BLOCK and name not in _BLOCK:
                         break
             else:
                 closes = _ENDS.get(name)
-                if closes:
+                if closes and not deeper:
                     for i in range(len(stack) - 1, 0, -1):
                         if stack[i][0] in closes:
                             del stack[i:]
@@ -78,7 +95,13 @@ def parse(text: str) -> list:
                 children: list = []
                 stack[-1][1].append(["t", name, children])
                 if name not in _VOID and not attributes.endswith("/"):
-                    stack.append((name, children))
+                    if len(stack) <= MAX_DEPTH:
+                        stack.append((name, children))
+                    else:
+                        deeper.append(name)
+                        open_[name] += 1
+    for node in written_:
+        node[1] = " ".join(node[1])
     return root
 
 
@@ -104,10 +127,17 @@ def fold(seq: list) -> list:
                 while labels[i + n * period : i + (n + 1) * period] == labels[i : i + period] and i + (n + 1) * period <= len(seq):
                     n += 1
             if n > 1:
-                block = [_plain(e) for e in seq[i : i + period]]
-                for k in range(1, n):
-                    block = [_unite(x, _plain(y)) for x, y in zip(block, seq[i + k * period : i + (k + 1) * period])]
-                out.append(["+", block])
+                if period == 1:
+                    e = _plain(seq[i])
+                    for y in seq[i + 1 : i + n]:
+                        e = _unite(e, _plain(y))
+                    group = ["+", e[1] if e[0] == "g" else [e]]
+                    out.append(group if any(x[0] != "?" for x in seq[i : i + n]) else ["?", [group]])
+                else:
+                    block = seq[i : i + period]
+                    for k in range(1, n):
+                        block = [_unite(x, y) for x, y in zip(block, seq[i + k * period : i + (k + 1) * period])]
+                    out.append(["+", [x for e in block for x in (e[1] if e[0] == "g" else [e])]])
                 i += n * period
             else:
                 out.append(seq[i])
@@ -142,14 +172,28 @@ def _unite(x: list, y: list) -> list:
     return ["?", [out] if out[0] != "g" else out[1]] if optional else out
 
 
+def _common_lengths(a: list[str], b: list[str]):
+    """best(i, j): the length of the longest common subsequence of a[i:] and b[j:].
+
+    Rows of the table are kept as bits: a zero at k of a row tells that the value grows from k to k + 1 places of b's end.
+    """
+    n, m = len(a), len(b)
+    where: dict[str, int] = {}
+    for k, x in enumerate(reversed(b)):
+        where[x] = where.get(x, 0) | 1 << k
+    full = (1 << m) - 1
+    rows = [full]
+    for x in reversed(a):
+        u = rows[-1] & where.get(x, 0)
+        rows.append(((rows[-1] + u) | (rows[-1] - u)) & full)
+    return lambda i, j: m - j - (rows[n - i] & ((1 << (m - j)) - 1)).bit_count()
+
+
 def align(a: list, b: list) -> list:
     """The expression of two sequences: the longest common one by labels, the rest optional."""
     la, lb = [label(e) for e in a], [label(e) for e in b]
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if la[i] == lb[j] else max(best[i + 1][j], best[i][j + 1])
+    best = _common_lengths(la, lb)
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and la[i] == lb[j]:
@@ -157,7 +201,7 @@ def align(a: list, b: list) -> list:
             out += e[1] if e[0] == "g" else [e]
             i, j = i + 1, j + 1
         else:
-            if j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
+            if j == m or i < n and best(i + 1, j) >= best(i, j + 1):
                 e, i = a[i], i + 1
             else:
                 e, j = b[j], j + 1
@@ -287,6 +331,11 @@ def _match(seq: list, nodes: list) -> tuple[list, bool]:
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 
 
+def _deep() -> None:
+    """Each level of elements takes a few frames: align, _unite, groups."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 50 * MAX_DEPTH))
+
+
 def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     rows = need(pages, id_col, url_col, html_col).toDF("id", "url", "html")
     return rows.select("id", F.lower(F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit(""))).alias("host"), "html")
@@ -294,49 +343,59 @@ def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
 
 def _align_all(shapes: list[str]) -> str:
     """One expression for all, aligned in order of length."""
+    _deep()
     out = None
     for s in sorted(set(shapes), key=lambda x: (len(x), x)):
         out = json.loads(s) if out is None else fold(align(out, json.loads(s)))
     return json.dumps(out, separators=(",", ":"))
 
 
-def wrappers(pages: DataFrame, *, splits: int = SPLITS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def wrappers(pages: DataFrame, *, fan_in: int = FAN_IN, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, wrapper, shapes): each host's wrapper as JSON and the number of distinct shapes aligned into it."""
 
     def shapes(batches):
+        _deep()
         for batch in batches:
-            seen: dict[tuple[str, str], int] = {}
+            seen: dict[tuple[str, str], None] = {}
             for host, text in zip(batch["host"].to_pylist(), batch["html"].to_pylist()):
-                key = host, json.dumps(shape(parse(text)), separators=(",", ":"))
-                seen[key] = seen.get(key, 0) + 1
+                seen[host, json.dumps(shape(parse(text)), separators=(",", ":"))] = None
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string())], ["host", "shape"])
 
     def part(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return pa.table({"host": [keys[0].as_py()], "shape": [_align_all(table["shape"].to_pylist())], "n": [len(table)]})
-
-    def whole(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return pa.table({"host": [keys[0].as_py()], "wrapper": [_align_all(table["shape"].to_pylist())], "shapes": [sum(table["n"].to_pylist())]})
+        return pa.table({"host": [keys[0].as_py()], "shape": [_align_all(table["shape"].to_pylist())], "n": [sum(table["n"].to_pylist())]})
 
     rows = _pages(pages, id_col, url_col, html_col).where("html is not null").select("host", "html").mapInArrow(shapes, "host string, shape string").distinct()
-    rows = rows.groupBy("host", F.pmod(F.xxhash64("shape"), F.lit(splits)).alias("k")).applyInArrow(part, "host string, shape string, n long")
-    return rows.groupBy("host").applyInArrow(whole, "host string, wrapper string, shapes long")
-
-
-def extract(pages: DataFrame, *, splits: int = SPLITS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    rows = written(rows.withColumn("n", F.lit(1).cast("long")), "shapes")
+    done = None
+    while True:
+        counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("left"))
+        rows = rows.join(counts.hint("merge"), "host")
+        one = rows.where("left = 1").select("host", F.col("shape").alias("wrapper"), F.col("n").alias("shapes"))
+        done = one if done is None else done.unionByName(one)
+        rows = rows.where("left > 1").groupBy("host", F.pmod(F.xxhash64("shape"), F.ceil(F.col("left") / fan_in)).alias("k"))
+        rows = written(rows.applyInArrow(part, "host string, shape string, n long"), "shapes")
+        if rows.isEmpty():
+            return done
+
+
+def extract(pages: DataFrame, *, fan_in: int = FAN_IN, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, host, accepted, fields, text) of every page.
 
     fields: slot and text of each slot that isn't template, in the page's order; text: their texts, one a line;
     accepted: whether the host's wrapper accepts the page as a whole.
     """
-    inferred = written(wrappers(pages, splits=splits, id_col=id_col, url_col=url_col, html_col=html_col), "wrappers")
+    inferred = written(wrappers(pages, fan_in=fan_in, id_col=id_col, url_col=url_col, html_col=html_col), "wrappers")
     known = DigestArray.store(inferred.select(F.xxhash64("host").alias("key"), F.to_json(F.struct("host", "wrapper")).alias("w")), "key", "w", "wrappers", per_file=1 << 12)
     rows = _pages(pages, id_col, url_col, html_col).withColumn("key", F.xxhash64("host")).withColumn("page", F.xxhash64("host", "html"))
     kind = rows.schema["id"].dataType.simpleString()
     pair = pa.struct([("slot", pa.string()), ("text", pa.string())])
 
     def read_pages(batches):
+        _deep()
         cache: dict[str, list] = {}
         for batch in batches:
+            if len(cache) > 1000:
+                cache.clear()
             keys = batch["key"].to_numpy(zero_copy_only=False).view(np.uint64)
             hosts = batch["host"].to_pylist()
             new = [i for i, h in enumerate(hosts) if h not in cache]
@@ -364,7 +423,7 @@ def extract(pages: DataFrame, *, splits: int = SPLITS, id_col: str = "page_id",
     each = once.select("host", F.explode(F.array_distinct(F.transform("fields", lambda f: F.struct(f["slot"].alias("slot"), F.xxhash64(f["text"]).alias("t"))))).alias("f")).select("host", "f.slot", "f.t")
     pages_of = once.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     same = each.groupBy("host", "slot").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo = hi")
-    constant = same.join(pages_of, "host").where("pages > 1 and n >= pages")
+    constant = same.join(pages_of.hint("merge"), "host").where("pages > 1 and n >= pages")
     template = DigestArray.store(constant.select(F.xxhash64("host", "slot").alias("key")), "key", None, "template")
     found = found.withColumn("keys", F.transform("fields", lambda f: F.xxhash64("host", f["slot"])))
 
