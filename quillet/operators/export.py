@@ -36,6 +36,7 @@ class ExportPlan:
     header_footer: dict[str, str] = field(default_factory=dict)
 
     def column(self, source: str, *, header: str | None = None, width: float | None = None, format: str | None = None, style: str | None = None, order: int | None = None) -> ExportPlan:
+        """Declares a column; `style` is in words, as CellStyle.of() reads them: "bold fill:FFEE00"."""
         if not isinstance(source, str):
             raise TypeError("a column is named by a string")
         old = self.columns.get(source, ColumnPlan(source))
@@ -56,7 +57,7 @@ class ExportPlan:
         out = []
         for f in df.schema:
             p, m = self.columns.get(f.name, ColumnPlan(f.name)), f.metadata or {}
-            p = replace(p, header=p.header or m.get("header") or f.name, width=p.width or m.get("width"), format=p.format or m.get("format"), order=p.order or m.get("order", 0), ignored=p.ignored or m.get("ignore", False))
+            p = replace(p, header=p.header or m.get("header") or f.name, width=p.width or m.get("width"), format=p.format or m.get("format"), style=p.style or m.get("style"), order=p.order or m.get("order", 0), ignored=p.ignored or m.get("ignore", False))
             if not p.ignored:
                 out.append(p)
         return sorted(out, key=lambda p: p.order)

@@ -18,11 +18,11 @@ _ITEM = "l_returnflag STRING, l_linestatus STRING, quantity DOUBLE, price DOUBLE
 
 
 def _lineitem_workbooks(s, d) -> str:
-    """lineitem as workbooks, one for each task."""
+    """lineitem as workbooks of some ten thousand rows, one for each task."""
     xlsx.register(s)
     folder = scratch(s, "lineitem")
     plan = ExportPlan().column("l_quantity", header="quantity").column("l_extendedprice", header="price").column("l_shipdate", header="shipped").ignore("l_orderkey", "l_partkey", "l_suppkey", "l_discount", "l_tax")
-    plan.project(_t(s, d, "lineitem")).write.format("xlsx").mode("append").save(folder)
+    xlsx_writer.balanced(plan.project(_t(s, d, "lineitem"))).write.format("xlsx").mode("append").save(folder)
     return folder
 
 

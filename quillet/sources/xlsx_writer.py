@@ -6,13 +6,19 @@ import datetime as dt
 import math
 import os
 import re
+import shutil
 import uuid
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
 from decimal import Decimal
+from typing import BinaryIO
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSourceWriter, WriterCommitMessage
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
 from ..functions.codes import password_hash
 from ..functions.dates import BUILTIN_FORMATS
@@ -24,8 +30,12 @@ from .xlsx import column_index, to_serial
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _TYPE = "application/vnd.openxmlformats-officedocument.spreadsheetml."
 _XML = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+MAX_ROWS = 1_048_576
 _BAD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
 
+#: What a text can hold that doesn't go into a cell as it is.
+_SPECIAL = re.compile("[&<>\x00-\x08\x0b-\x1f\ud800-\udfff\ufffe\uffff]|^\\s|\\s\\Z")
+
 #: Flags of a sheet's protection: what stays allowed.
 PROTECTION = ("selectLockedCells", "selectUnlockedCells", "formatCells", "formatColumns", "formatRows", "insertColumns", "insertRows", "insertHyperlinks", "deleteColumns", "deleteRows", "sort", "autoFilter", "pivotTables", "objects", "scenarios")
 TABLE_STYLES = {"Light": "TableStyleLight1", "Medium": "TableStyleMedium2", "Dark": "TableStyleDark1", "None": None}
@@ -49,6 +59,18 @@ class CellStyle:
     wrap: bool = False
     format: str | None = None
 
+    @classmethod
+    def of(cls, text: str) -> CellStyle:
+        """A style from words: "bold italic underline wrap" and "size:12 font:Arial color:FF0000 fill:EEEEEE border:thin border_color:000000 horizontal:center vertical:top format:0.00" (the format last: it may hold spaces)."""
+        text, _, code = text.partition("format:")
+        made: dict = {"format": code} if code else {}
+        for word in text.split():
+            k, colon, v = word.partition(":")
+            if k not in cls.__dataclass_fields__ or bool(colon) == (k in ("bold", "italic", "underline", "wrap")):
+                raise ValueError(f"not a style: {word!r}")
+            made[k] = True if not colon else float(v) if k == "size" else v
+        return cls(**made)
+
 
 @dataclass(frozen=True)
 class Formula:
@@ -179,6 +201,7 @@ class WorkbookWriter:
         self.defined_names: dict[str, str] = {}
         self.protection: str | None = None
         self._open = None
+        self._letters: list[str] = []
 
     def add_sheet(self, sheet: Sheet | str) -> Sheet:
         sheet = Sheet(sheet) if isinstance(sheet, str) else sheet
@@ -205,20 +228,80 @@ class WorkbookWriter:
 
     def write_rows(self, rows: Iterable[Sequence], *, styles: Sequence[CellStyle | None] = ()) -> int:
         """Appends rows; None is an empty cell. Returns their number."""
-        sheet, buffer, count = self.sheets[-1], [], 0
+        sheet, buffer, count, letters = self.sheets[-1], [], 0, self._letters
+        plain = not any(styles)
         for row in rows:
             sheet.rows += 1
             count += 1
-            if sheet.rows > 1_048_576:
-                raise ValueError("a sheet has 1048576 rows at most")
+            if sheet.rows > MAX_ROWS:
+                raise ValueError(f"a sheet has {MAX_ROWS} rows at most")
             r = sheet.rows
-            buffer.append(f'<row r="{r}">' + "".join(self._cell(v, f"{column_name(i)}{r}", styles[i - 1] if i <= len(styles) else None) for i, v in enumerate(row, 1)) + "</row>")
+            if len(row) > len(letters):
+                letters += [column_name(i) for i in range(len(letters) + 1, len(row) + 1)]
+            cells = []
+            for i, v in enumerate(row):
+                t = type(v)
+                if plain and t is int:
+                    cells.append(f'<c r="{letters[i]}{r}"><v>{v}</v></c>')
+                elif plain and t is str and not _SPECIAL.search(v):
+                    cells.append(self._text(v, f"{letters[i]}{r}"))
+                elif v is not None or not plain:
+                    cells.append(self._cell(v, f"{letters[i]}{r}", styles[i] if i < len(styles) else None))
+            buffer.append(f'<row r="{r}">{"".join(cells)}</row>')
             if len(buffer) >= 512:
                 self._put("".join(buffer))
                 buffer.clear()
         self._put("".join(buffer))
         return count
 
+    def write_batch(self, batch: pa.RecordBatch, *, styles: Sequence[CellStyle | None] = ()) -> int:
+        """Appends the rows of a batch, cell by cell of each column at once; returns their number."""
+        sheet, n, letters = self.sheets[-1], batch.num_rows, self._letters
+        if sheet.rows + n > MAX_ROWS:
+            raise ValueError(f"a sheet has {MAX_ROWS} rows at most")
+        numbers = [str(r) for r in range(sheet.rows + 1, sheet.rows + n + 1)]
+        letters += [column_name(i) for i in range(len(letters) + 1, batch.num_columns + 1)]
+        columns = [self._column(batch.column(i), letters[i], numbers, styles[i] if i < len(styles) else None) for i in range(batch.num_columns)]
+        cells = zip(*columns) if columns else [()] * n
+        self._put("".join([f'<row r="{r}">{"".join(x)}</row>' for r, x in zip(numbers, cells)]))
+        sheet.rows += n
+        return n
+
+    def _column(self, a: pa.Array, letters: str, numbers: list[str], style: CellStyle | None) -> list[str]:
+        """The cells of a column; _cell() says what each looks like."""
+        t = a.type
+        generic = lambda: [self._cell(v, letters + r, style) for v, r in zip(a.to_pylist(), numbers)]
+        if style is not None:
+            return generic()
+        c = f'<c r="{letters}'
+        if pa.types.is_integer(t):
+            return [f'{c}{r}"><v>{v}</v></c>' if v is not None else "" for v, r in zip(a.to_pylist(), numbers)]
+        if pa.types.is_boolean(t):
+            return [f'{c}{r}" t="b"><v>{int(v)}</v></c>' if v is not None else "" for v, r in zip(a.to_pylist(), numbers)]
+        if pa.types.is_floating(t) or pa.types.is_decimal(t) and t.precision <= 15 and t.scale <= 15:
+            values = a.cast(pa.float64()).to_numpy(zero_copy_only=False)
+            if np.isfinite(values[a.is_valid().to_numpy(zero_copy_only=False)]).all():
+                return [f'{c}{r}"><v>{v!r}</v></c>' if v == v else "" for v, r in zip(values.tolist(), numbers)]
+            return generic()
+        if pa.types.is_date(t) or pa.types.is_timestamp(t) and t.tz is None:
+            us = a.cast(pa.timestamp("us")).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+            serial = (us + 2_209_161_600_000_000) / 86_400_000_000
+            day, time = (f'" s="{self.styles.id(CellStyle(format=f))}"><v>' for f in (self.options.date_format, self.options.datetime_format))
+            if abs(us).max(initial=0) < 2**52:
+                return [f"{c}{r}{day if whole else time}{v!r}</v></c>" if ok else "" for v, whole, ok, r in zip(serial.tolist(), (us % 86_400_000_000 == 0).tolist(), a.is_valid().to_pylist(), numbers)]
+            return generic()
+        if pa.types.is_string(t) or pa.types.is_large_string(t):
+            special, text = _SPECIAL.search, self._text
+            return ["" if v is None else self._cell(v, letters + r, None) if special(v) else text(v, letters + r) for v, r in zip(a.to_pylist(), numbers)]
+        return generic()
+
+    def _text(self, v: str, at: str) -> str:
+        """The cell of a text without special characters."""
+        if self.options.inline_strings:
+            return f'<c r="{at}" t="inlineStr"><is><t>{v}</t></is></c>'
+        self.string_uses += 1
+        return f'<c r="{at}" t="s"><v>{self.strings.setdefault(v, len(self.strings))}</v></c>'
+
     def skip_rows(self, n: int) -> None:
         self.sheets[-1].rows += n
 
@@ -373,6 +456,37 @@ def _rows(df: DataFrame) -> Iterable[Sequence]:
     return df.toLocalIterator(prefetchPartitions=True)
 
 
+@contextmanager
+def _spooled(path: str, options: Options) -> Iterator[BinaryIO]:
+    """A file that takes the place of `path` once it is whole, encrypted if there is a password; nothing else stays."""
+    folder = options.temp_dir or os.path.dirname(os.path.abspath(path))
+    temp = os.path.join(folder, f".{uuid.uuid4().hex}.tmp")
+    near = os.path.join(os.path.dirname(os.path.abspath(path)), f".{uuid.uuid4().hex}.tmp")
+    try:
+        with open(temp, "wb") as f:
+            yield f
+        if options.password:
+            from .encryption import encrypt
+
+            with open(temp, "rb") as f:
+                data = encrypt(f.read(), options.password)
+            with open(near, "wb") as f:
+                f.write(data)
+        else:
+            shutil.move(temp, near)
+        os.replace(near, path)
+    finally:
+        for t in (temp, near):
+            if os.path.exists(t):
+                os.remove(t)
+
+
+def _style_of(c) -> CellStyle | None:
+    """A planned column's style and format."""
+    style = CellStyle.of(c.style) if isinstance(c.style, str) else c.style
+    return replace(style or CellStyle(), format=c.format) if c.format else style
+
+
 def write_workbook(path: str, sheets: dict[str, DataFrame] | DataFrame, *, plans: dict[str, ExportPlan] | ExportPlan | None = None, options: Options | None = None, headers: bool = True) -> dict[str, int]:
     """One workbook from DataFrames, streamed through the driver row by row; returns the rows written to each sheet.
 
@@ -383,43 +497,29 @@ def write_workbook(path: str, sheets: dict[str, DataFrame] | DataFrame, *, plans
     if not sheets:
         raise ValueError("a workbook has one sheet at least")
     options = options or Options()
-    folder = options.temp_dir or os.path.dirname(os.path.abspath(path))
-    temp = os.path.join(folder, f".{uuid.uuid4().hex}.xlsx")
     counts = {}
-    try:
-        with open(temp, "wb") as f:
-            w = WorkbookWriter(f, options)
-            for name, df in sheets.items():
-                plan = (plans.get(name) if isinstance(plans, dict) else plans) or ExportPlan()
-                cols = plan.resolved(df)
-                sheet = Sheet(name, {i: c.width for i, c in enumerate(cols, 1) if c.width}, freeze_rows=plan.freeze_rows, header_footer=plan.header_footer)
-                w.add_sheet(sheet)
-                if headers:
-                    w.write_rows([[c.header for c in cols]], styles=[CellStyle(bold=True)] * len(cols))
-                counts[name] = w.write_rows(_rows(plan.project(df)), styles=[CellStyle(format=c.format) if c.format else None for c in cols])
-                area = f"A1:{column_name(max(1, len(cols)))}{max(1, sheet.rows)}"
-                if plan.as_table:
-                    sheet.tables.append((area, re.sub(r"\W", "_", name), [c.header for c in cols], TABLE_STYLES.get(plan.as_table, plan.as_table)))
-                elif plan.auto_filter:
-                    sheet.auto_filter = area
-            w.close()
-        if options.password:
-            from .encryption import encrypt
-
-            with open(temp, "rb") as f:
-                data = encrypt(f.read(), options.password)
-            with open(temp, "wb") as f:
-                f.write(data)
-        os.replace(temp, path)
-    finally:
-        if os.path.exists(temp):
-            os.remove(temp)
+    with _spooled(path, options) as f:
+        w = WorkbookWriter(f, options)
+        for name, df in sheets.items():
+            plan = (plans.get(name) if isinstance(plans, dict) else plans) or ExportPlan()
+            cols = plan.resolved(df)
+            sheet = Sheet(name, {i: c.width for i, c in enumerate(cols, 1) if c.width}, freeze_rows=plan.freeze_rows, header_footer=plan.header_footer)
+            w.add_sheet(sheet)
+            if headers:
+                w.write_rows([[c.header for c in cols]], styles=[CellStyle(bold=True)] * len(cols))
+            counts[name] = w.write_rows(_rows(plan.project(df)), styles=[_style_of(c) for c in cols])
+            area = f"A1:{column_name(max(1, len(cols)))}{max(1, sheet.rows)}"
+            if plan.as_table:
+                sheet.tables.append((area, re.sub(r"\W", "_", name), [c.header for c in cols], TABLE_STYLES.get(plan.as_table, plan.as_table)))
+            elif plan.auto_filter:
+                sheet.auto_filter = area
+        w.close()
     return counts
 
 
 def write_cells(path: str, cells: DataFrame, *, defined_names: dict[str, str] | None = None, options: Options | None = None) -> None:
     """A workbook from the sparse model (sheet, row, col, value, formula): rows and columns that are missing stay empty."""
-    with open(path, "wb") as f:
+    with _spooled(path, options or Options()) as f:
         w = WorkbookWriter(f, options)
         current, row, held = None, None, {}
 
@@ -443,13 +543,23 @@ def write_cells(path: str, cells: DataFrame, *, defined_names: dict[str, str] |
         w.close()
 
 
+def balanced(df: DataFrame, rows_per_file: int = 65_536) -> DataFrame:
+    """df in as many partitions as it takes for some `rows_per_file` rows in each: one task writes, and one reads, a workbook."""
+    n = df.select(F.lit(1)).count()
+    return df.repartition(max(1, -(-n // rows_per_file)))
+
+
 class _Written(WriterCommitMessage):
-    def __init__(self, temp: str, final: str):
-        self.temp, self.final = temp, final
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files
 
 
-class XlsxDataWriter(DataSourceWriter):
-    """One workbook for each task, under a temporary name until the job commits."""
+class XlsxDataWriter(DataSourceArrowWriter):
+    """Workbooks for each task, under temporary names until the job commits: the next one begins where a sheet's rows end.
+
+    Options: ``sheet``, ``header``, ``useInlineStrings``, ``dateFormat``, ``datetimeFormat``, ``timespanFormat``, ``password``, ``tempDir`` and ``maxRowsPerFile``;
+    width, format and style of a column are taken from its metadata, where an ExportPlan's project() leaves them.
+    """
 
     def __init__(self, schema, options: dict, overwrite: bool):
         self.schema, self.overwrite = schema, overwrite
@@ -457,41 +567,68 @@ class XlsxDataWriter(DataSourceWriter):
         self.folder = options["path"].removeprefix("file://")
         self.sheet = options.get("sheet", "Sheet1")
         self.headers = options.get("header", "true").lower() == "true"
-        self.options = Options(inline_strings=options.get("useinlinestrings", "true").lower() == "true", date_format=options.get("dateformat", Options.date_format), datetime_format=options.get("datetimeformat", Options.datetime_format), password=options.get("password"))
+        self.options = Options(
+            inline_strings=options.get("useinlinestrings", "true").lower() == "true",
+            date_format=options.get("dateformat", Options.date_format),
+            datetime_format=options.get("datetimeformat", Options.datetime_format),
+            timespan_format=options.get("timespanformat", Options.timespan_format),
+            password=options.get("password"),
+            temp_dir=options.get("tempdir"),
+        )
+        self.rows = min(MAX_ROWS - self.headers, int(options.get("maxrowsperfile", MAX_ROWS)))
 
     def write(self, iterator):
         os.makedirs(self.folder, exist_ok=True)
-        name = uuid.uuid4().hex
-        temp = os.path.join(self.folder, f".{name}.tmp")
-        with open(temp, "wb") as f:
-            w = WorkbookWriter(f, self.options)
-            w.add_sheet(self.sheet)
-            if self.headers:
-                w.write_rows([[c.name for c in self.schema.fields]], styles=[CellStyle(bold=True)] * len(self.schema.fields))
-            w.write_rows(iterator)
-            w.close()
-        if self.options.password:
-            from .encryption import encrypt
-
-            with open(temp, "rb") as f:
-                data = encrypt(f.read(), self.options.password)
-            with open(temp, "wb") as f:
-                f.write(data)
-        return _Written(temp, os.path.join(self.folder, f"part-{name}.xlsx"))
+        files: list[tuple[str, str]] = []
+        try:
+            batches, rest = iter(iterator), None
+            while True:
+                name = uuid.uuid4().hex
+                temp = os.path.join(self.folder, f".{name}.tmp")
+                files.append((temp, os.path.join(self.folder, f"part-{name}.xlsx")))
+                with _spooled(temp, self.options) as f:
+                    rest = self._workbook(f, batches, rest)
+                if rest is None:
+                    return _Written(files)
+        except BaseException:
+            _remove(temp for temp, _ in files)
+            raise
+
+    def _workbook(self, f, batches, rest):
+        """Writes one workbook; returns the batch that the next begins with, if there is one."""
+        fields = [(c.name, c.metadata or {}) for c in self.schema.fields]
+        w = WorkbookWriter(f, self.options)
+        w.add_sheet(Sheet(self.sheet, {i: m["width"] for i, (_, m) in enumerate(fields, 1) if m.get("width")}))
+        if self.headers:
+            w.write_rows([[n for n, _ in fields]], styles=[CellStyle(bold=True)] * len(fields))
+        styles = [replace(CellStyle.of(m.get("style", "")), **({"format": m["format"]} if m.get("format") else {})) if m.get("style") or m.get("format") else None for _, m in fields]
+        left = self.rows
+        while left:
+            batch = rest if rest is not None else next(batches, None)
+            if batch is None:
+                break
+            w.write_batch(batch.slice(0, left), styles=styles)
+            rest = batch.slice(left) if batch.num_rows > left else None
+            left -= min(left, batch.num_rows)
+        w.close()
+        return rest if rest is not None else next(batches, None)
 
     def commit(self, messages):
-        done = [m for m in messages if m is not None]
+        files = [x for m in messages if m is not None for x in m.files]
+        new = {os.path.basename(final) for _, final in files}
+        for temp, final in files:
+            os.replace(temp, final)
         if self.overwrite:
-            for f in os.listdir(self.folder):
-                if f.endswith(".xlsx"):
-                    os.remove(os.path.join(self.folder, f))
-        for m in done:
-            os.replace(m.temp, m.final)
+            _remove(os.path.join(self.folder, f) for f in os.listdir(self.folder) if f.endswith(".xlsx") and f not in new)
 
     def abort(self, messages):
-        for m in messages:
-            if m is not None and os.path.exists(m.temp):
-                os.remove(m.temp)
+        _remove(temp for m in messages if m is not None for temp, _ in m.files)
+
+
+def _remove(paths: Iterable[str]) -> None:
+    for p in paths:
+        if os.path.exists(p):
+            os.remove(p)
 
 
-__all__ = ["CellStyle", "Commented", "Formula", "Link", "Options", "Sheet", "Styled", "WorkbookWriter", "XlsxDataWriter", "write_cells", "write_workbook"]
+__all__ = ["CellStyle", "Commented", "Formula", "Link", "Options", "Sheet", "Styled", "WorkbookWriter", "XlsxDataWriter", "balanced", "write_cells", "write_workbook"]

@@ -2,6 +2,7 @@ import datetime as dt
 import io
 import os
 import random
+import re
 import struct
 import zipfile
 import zlib
@@ -339,3 +340,105 @@ def test_damaged_envelopes():
         envelope.unpack(bytes(data))
     with pytest.raises(ValueError, match="version"):
         envelope.unpack(b"CVPR\x09" + bytes(data[5:]))
+
+
+def columns_as_cells(w, index=0):
+    return [(int(c.row[i]), int(c.col[i]), xlsx.KINDS[c.kind[i]], c.value(i), c.formula[i].as_py()) for c in w.columns(index) for i in range(len(c))]
+
+
+def test_columns_are_the_cells(monkeypatch):
+    """The scan in columns gives what the XML parser gives, in whatever form the sheet is."""
+    monkeypatch.setattr(xlsx.sheet_scan, "PIECE", 300)
+    rng = random.Random(3)
+    values = [None, 1, -2.5, 1e300, True, False, "", "a", " edge ", "<&>\"'", "ünï", "two\nlines", dt.date(2024, 2, 29), dt.datetime(2020, 1, 1, 12, 30, 15), dt.timedelta(hours=36.5), Formula("SUM(A1:A2)"), 12345678901234567890]
+    rows = [[rng.choice(values) for _ in range(rng.randrange(1, 8))] for _ in range(300)]
+    for inline in (True, False):
+        data = book(("S", rows), options=Options(inline_strings=inline))
+        for auto in (True, False):
+            w = xlsx.Workbook(data, auto_dates=auto)
+            raw = w.package.read(w.sheets[0][1])
+            want = list(w.cells(0))
+            assert columns_as_cells(w) == want and len(want) > 500
+            # from any piece on that isn't in plain form the parser takes over
+            for change in (lambda x: x.replace(b'<c r="B', b'<c  r="B'), lambda x: x.replace(b'<row r="150">', b'<!-- x --><row r="150">'), lambda x: x.replace(b"</sheetData>", b"<row><c><v>7</v></c></row></sheetData>"), lambda x: x.replace(b"<v>", b"<v><![CDATA[").replace(b"</v>", b"]]></v>"), lambda x: x.replace(b'<row r="200"', b'<row r="100"'), lambda x: x.replace(b"&lt;", b"&#60;"), lambda x: x.replace(b"&quot;", b"&#x22;")):
+                monkeypatch.setattr(w.package, "read", lambda name, x=change(raw): x)
+                assert columns_as_cells(w) == list(w.cells(0))
+            monkeypatch.undo()
+            monkeypatch.setattr(xlsx.sheet_scan, "PIECE", 300)
+    dates = book(("S", [[dt.date(1900, 1, 1)], [dt.datetime(9999, 12, 31)], [dt.date(2024, 5, 5)]]))
+    assert columns_as_cells(xlsx.Workbook(dates)) == list(xlsx.Workbook(dates).cells(0))
+
+
+def test_typed_columns_like_single_values(spark, tmp_path):
+    """Each type, from columns of one kind and of several, as convert() has it."""
+    rng = random.Random(4)
+    pools = [[1.5, 2.5, -0.5, 3, 1e12, 2.675, 1.005, 123456.785], ["a", "5", "2.5", "true", "2024-01-02", ""], [True, False], [dt.datetime(2020, 1, 1, 6), dt.date(1999, 12, 31)], [1, "x", None, True, dt.date(2020, 2, 2), 7.25]]
+    rows = [[rng.choice(p) for p in pools] for _ in range(200)]
+    path = str(tmp_path / "t.xlsx")
+    with open(path, "wb") as f:
+        f.write(book(("S", [list("abcde"), *rows])))
+    cells = {(r, c): (k, v) for r, c, k, v, _ in xlsx.Workbook(open(path, "rb").read()).cells(0)}
+    for kind in ("STRING", "DOUBLE", "BIGINT", "INT", "SMALLINT", "BOOLEAN", "DATE", "TIMESTAMP_NTZ", "DECIMAL(12,2)"):
+        df = xlsx.read_typed(spark, path, ", ".join(f"{n} {kind}" for n in "abcde"))
+        got = [tuple(r) for r in df.collect()]
+        want = []
+        for r in range(2, 202):
+            out = [xlsx.convert(*cells[r, c], df.schema[c - 1].dataType) if (r, c) in cells else None for c in range(1, 6)]
+            want.append(tuple(None if kind.startswith("DEC") and v is not None and abs(v) >= 10**10 else v for v in out))
+        assert got == want, kind
+
+
+def test_a_task_rolls_over_to_the_next_workbook(spark, tmp_path):
+    xlsx.register(spark)
+    out = str(tmp_path / "many")
+    spark.range(1_048_577).coalesce(1).write.format("xlsx").mode("append").save(out)
+    assert len(xlsx._files(out)) == 2 and not [f for f in os.listdir(out) if f.startswith(".")]
+    assert tuple(xlsx.read_typed(spark, out, "id BIGINT").selectExpr("count(*)", "sum(id)", "max(id)").first()) == (1_048_577, 1_048_576 * 1_048_577 // 2, 1_048_576)
+    few = str(tmp_path / "few")
+    spark.range(10).coalesce(1).write.format("xlsx").option("maxRowsPerFile", 4).mode("append").save(few)
+    assert len(xlsx._files(few)) == 3 and xlsx.read_typed(spark, few, "id BIGINT").count() == 10
+    spark.range(8).coalesce(1).write.format("xlsx").option("maxRowsPerFile", 4).mode("overwrite").save(few)
+    assert len(xlsx._files(few)) == 2 and xlsx.read_typed(spark, few, "id BIGINT").count() == 8
+    assert xlsx_writer.balanced(spark.range(100), 30).rdd.getNumPartitions() == 4
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    xlsx.register(spark)
+    out = str(tmp_path / "bad")
+    spark.range(3).coalesce(1).write.format("xlsx").mode("append").save(out)
+    before = sorted(os.listdir(out))
+    bad = spark.range(5000).coalesce(1).selectExpr("if(id = 4500, raise_error('no'), id) as id")
+    with pytest.raises(Exception):
+        bad.write.format("xlsx").option("password", "pw").mode("overwrite").save(out)
+    assert sorted(os.listdir(out)) == before
+    path = str(tmp_path / "one.xlsx")
+    with pytest.raises(Exception):
+        xlsx_writer.write_workbook(path, bad, options=Options(password="pw"))
+    assert not [f for f in os.listdir(tmp_path) if f.endswith((".xlsx", ".tmp"))]
+
+
+def test_encrypted_cells(spark, tmp_path):
+    path = str(tmp_path / "c.xlsx")
+    model = spark.createDataFrame([("S", 2, 3, "x", None), ("S", 4, 1, None, "1+1")], "sheet string, row int, col int, value string, formula string")
+    xlsx_writer.write_cells(path, model, options=Options(password="pw"))
+    data = open(path, "rb").read()
+    assert data[:2] != b"PK" and cells(data, password="pw") == {(2, 3): ("string", "x"), (4, 1): ("blank", None)}
+
+
+def test_styles_and_formats_of_columns_reach_the_file(spark, tmp_path):
+    plan = ExportPlan().column("a", style="bold fill:FFEE00", width=20).column("b", format="0.00", style="italic").column("c", style="color:FF0000 size:12")
+    df = spark.createDataFrame([(1, 2.5, "x")], "a int, b double, c string")
+    one, many = str(tmp_path / "one.xlsx"), str(tmp_path / "many")
+    xlsx_writer.write_workbook(one, df, plans=plan)
+    xlsx.register(spark)
+    plan.project(df).coalesce(1).write.format("xlsx").mode("append").save(many)
+    for path in (one, xlsx._files(many)[0]):
+        z = zipfile.ZipFile(path)
+        styles, sheet = z.read("xl/styles.xml").decode(), z.read("xl/worksheets/sheet1.xml").decode()
+        assert 'rgb="FFFFEE00"' in styles and 'rgb="FFFF0000"' in styles and '<sz val="12"/>' in styles and "<i/>" in styles and 'numFmtId="2"' in styles and 'width="20"' in sheet
+        ids = [int(re.search(rf'<c r="{c}2" s="(\d+)"', sheet)[1]) for c in "ABC"]
+        assert len(set(ids)) == 3 and all(ids)
+    assert xlsx.read_typed(spark, many, "a INT, b DOUBLE, c STRING").collect()[0] == (1, 2.5, "x")
+    for bad in ("bolder", "bold:1", "fill", "size:x"):
+        with pytest.raises(ValueError):
+            CellStyle.of(bad)
