@@ -31,6 +31,7 @@ MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _TYPE = "application/vnd.openxmlformats-officedocument.spreadsheetml."
 _XML = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 MAX_ROWS = 1_048_576
+_EPOCH_DAY = dt.date(1899, 12, 30).toordinal()
 _BAD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
 
 #: What a text can hold that doesn't go into a cell as it is.
@@ -202,6 +203,7 @@ class WorkbookWriter:
         self.protection: str | None = None
         self._open = None
         self._letters: list[str] = []
+        self._day_style: str | None = None
 
     def add_sheet(self, sheet: Sheet | str) -> Sheet:
         sheet = Sheet(sheet) if isinstance(sheet, str) else sheet
@@ -229,7 +231,7 @@ class WorkbookWriter:
     def write_rows(self, rows: Iterable[Sequence], *, styles: Sequence[CellStyle | None] = ()) -> int:
         """Appends rows; None is an empty cell. Returns their number."""
         sheet, buffer, count, letters = self.sheets[-1], [], 0, self._letters
-        plain = not any(styles)
+        plain, isfinite = not any(styles), math.isfinite
         for row in rows:
             sheet.rows += 1
             count += 1
@@ -245,6 +247,12 @@ class WorkbookWriter:
                     cells.append(f'<c r="{letters[i]}{r}"><v>{v}</v></c>')
                 elif plain and t is str and not _SPECIAL.search(v):
                     cells.append(self._text(v, f"{letters[i]}{r}"))
+                elif plain and t is float and isfinite(v):
+                    cells.append(f'<c r="{letters[i]}{r}"><v>{v!r}</v></c>')
+                elif plain and t is bool:
+                    cells.append(f'<c r="{letters[i]}{r}" t="b"><v>{int(v)}</v></c>')
+                elif plain and t is dt.date:
+                    cells.append(f'<c r="{letters[i]}{r}"{self._day()}><v>{v.toordinal() - _EPOCH_DAY}.0</v></c>')
                 elif v is not None or not plain:
                     cells.append(self._cell(v, f"{letters[i]}{r}", styles[i] if i < len(styles) else None))
             buffer.append(f'<row r="{r}">{"".join(cells)}</row>')
@@ -295,6 +303,12 @@ class WorkbookWriter:
             return ["" if v is None else self._cell(v, letters + r, None) if special(v) else text(v, letters + r) for v, r in zip(a.to_pylist(), numbers)]
         return generic()
 
+    def _day(self) -> str:
+        """The style attribute of a date."""
+        if self._day_style is None:
+            self._day_style = f' s="{self.styles.id(CellStyle(format=self.options.date_format))}"'
+        return self._day_style
+
     def _text(self, v: str, at: str) -> str:
         """The cell of a text without special characters."""
         if self.options.inline_strings:
