@@ -117,8 +117,11 @@ class DigestArray:
         return {"path": self.path, "bits": self.bits, "_maps": {}}
 
     @classmethod
-    def store(cls, df: DataFrame, key: str, value: str | None, tag: str, per_file: int = 1 << 20) -> DigestArray:
-        """df's bigint `key` (read as unsigned), with `value` (a bigint, or else as a string) if there is one.  Nulls in key are dropped."""
+    def store(cls, df: DataFrame, key: str, value: str | None, tag: str, per_file: int = 1 << 20, rows: int | None = None) -> DigestArray:
+        """df's bigint `key` (read as unsigned), with `value` (a bigint, or else as a string) if there is one.  Nulls in key are dropped.
+
+        Equal rows are stored once; df isn't looked through for them if the number of its rows is given, all of which differ.
+        """
         from pyspark.sql import functions as F
 
         numeric = value is not None and df.schema[value].dataType.simpleString() == "bigint"
@@ -128,8 +131,9 @@ class DigestArray:
         folder = local_path(uri)
         os.makedirs(folder, exist_ok=True)
         cols = [F.col(key).cast("long").alias("k"), (F.col(value) if value else F.lit(None)).cast("bigint" if numeric else "string").alias("v")]
-        rows = written(df.select(*cols).where("k is not null").distinct(), tag)
-        bits = max(0, int(np.ceil(np.log2(max(1, rows.count()) / per_file))))
+        table = df.select(*cols).where("k is not null")
+        table = table if rows is not None else written(table.distinct(), tag)
+        bits = max(0, int(np.ceil(np.log2(max(1, table.count() if rows is None else rows) / per_file))))
         shard = F.shiftrightunsigned("k", 64 - bits).cast("int") if bits else F.lit(0)
 
         def save(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -151,7 +155,7 @@ class DigestArray:
             os.replace(temp + ".npy", f"{folder}/{n}.npy")
             return pa.table({"shard": pa.array([n], pa.int32()), "n": pa.array([len(k)], pa.int64())})
 
-        rows.withColumn("shard", shard).groupBy("shard").applyInArrow(save, "shard int, n long").write.format("noop").mode("overwrite").save()
+        table.withColumn("shard", shard).groupBy("shard").applyInArrow(save, "shard int, n long").write.format("noop").mode("overwrite").save()
         return cls(folder, bits)
 
     def _open(self, n: int) -> tuple:

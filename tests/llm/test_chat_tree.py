@@ -63,3 +63,46 @@ def test_whole_table(spark, small):
     for r in df.orderBy("conv_id", "turn").collect():
         convs[r.conv_id].append((r.role, r.text))
     check(C.forest(df).collect(), convs)
+
+
+def test_random_trees_with_branches_on_branches(spark):
+    """Branches at many depths, copies, repeated rows and turns of one number: depth-first, each branch behind its parent."""
+    import random
+
+    rng = random.Random(7)
+    convs = {0: [f"t{i}" for i in range(12)]}
+    for c in range(1, 150):
+        base = convs[rng.randrange(max(0, c - 20), c)]
+        convs[c] = [*base[: rng.randrange(0, len(base) + 1)], *(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 5)))]
+    rows = [(str(c), i, "user" if i % 2 else "system", t) for c, ts in convs.items() for i, t in enumerate(ts)]
+    rows += rng.sample(rows, 60)
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    out = C.forest(df).collect()
+    check(out, {c: [("user" if i % 2 else "system", t) for i, t in enumerate(ts)] for c, ts in convs.items()})
+    # the order is that of the lists of least conversations from the root on
+    nodes = {r.node: r for r in out}
+
+    def firsts(r):
+        return (firsts(nodes[r.parent]) if r.parent else []) + [r.conv_id]
+
+    for tree in {r.tree for r in out}:
+        own = sorted((r for r in out if r.tree == tree), key=lambda r: r.start)
+        assert [firsts(r) for r in own] == sorted(firsts(r) for r in own)
+
+
+def test_a_long_conversation_and_one_root_for_all(spark):
+    """5,000 turns in one conversation, of which another branches off late; one system prompt for 3,000 conversations."""
+    long = [(0, i, "user", f"turn {i}") for i in range(5000)]
+    late = [(1, i, t[2], t[3]) for i, t in enumerate(long[:4990])] + [(1, 4990, "user", "other")]
+    many = [x for c in range(2, 3002) for x in ((c, 0, "system", "be kind"), (c, 1, "user", f"question {c % 1500}"))]
+    out = C.forest(spark.createDataFrame(long + late + many, "conv_id long, turn long, role string, text string")).collect()
+    assert len(out) == 5001 + 1501
+    root = [r for r in out if r.n_conversations == 3000]
+    assert len(root) == 1 and root[0].start == 0 and root[0].conv_id == 2
+    below = sorted((r for r in out if r.parent == root[0].node), key=lambda r: r.start)
+    assert len(below) == 1500 and all([(a.start, a.stop) for a in r.attention] == [(0, len(root[0].tokens))] for r in below)
+    assert all(a.start + len(a.tokens) == b.start for a, b in zip(below, below[1:]))
+    other = next(r for r in out if r.depth == 4990 and r.conv_id == 1)
+    last = max((r for r in out if r.conv_id == 0), key=lambda r: r.depth)
+    assert other.start == last.start + len(last.tokens) and other.attention[0].start == 0 and other.position_ids[0] == other.attention[0].stop
