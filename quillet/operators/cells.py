@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, TimestampType
+
+_BLOCK = 65_536
 
 
 def to_cells(df: DataFrame, *, row: str, columns: Sequence[str] | None = None, keep_blank: bool = False) -> DataFrame:
@@ -29,8 +32,11 @@ def row_maps(cells: DataFrame) -> DataFrame:
 
 def fill_rows(df: DataFrame, row: str, *, first: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """df with a row for each missing number from `first` to the last one."""
-    last = df.groupBy(*by).agg(F.max(row).alias("__last"))
-    all_ = last.select(*by, F.explode(F.when(F.col("__last") >= first, F.sequence(F.lit(first).cast("long"), F.col("__last").cast("long")))).alias(row))
+    last = df.groupBy(*by).agg(F.max(row).cast("long").alias("__last")).where(F.col("__last") >= first)
+    # the numbers of a group are made by many tasks, some ten thousands by each
+    blocks = last.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__last - {int(first)}) div {_BLOCK}"))).alias("__block")).repartition(*by, "__block")
+    begin = F.lit(first).cast("long") + F.col("__block") * _BLOCK
+    all_ = blocks.select(*by, F.explode(F.sequence(begin, F.least(begin + _BLOCK - 1, "__last"))).alias(row))
     return all_.join(df.withColumn(row, df[row].cast("long")), [*by, row], "left")
 
 
@@ -44,21 +50,44 @@ def edit(cells: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def number_rows(df: DataFrame, given: str, order: str, *, by: Sequence[str] = (), out: str = "row") -> DataFrame:
-    """Row numbers where a row without one follows the one before by one."""
-    w = Window.partitionBy(*by).orderBy(order)
-    block = F.count(F.when(F.col(given).isNotNull(), 1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    x = df.withColumn("__block", block)
-    inner = Window.partitionBy(*by, "__block").orderBy(order)
-    start = F.coalesce(F.first(given).over(inner.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    n = F.row_number().over(inner)
-    return x.withColumn(out, F.when(F.col("__block") == 0, n).otherwise(start + n - 1)).drop("__block")
+    """Row numbers where a row without one follows the one before by one.
+
+    A group of `by` is one task; without `by`, rows are numbered within buckets of the range of `order`, and each bucket begins
+    where the one before ends, if `order` is a number or a time; other types are sorted in one task.
+    """
+    if by or not isinstance(df.schema[order].dataType, (NumericType, TimestampType)):
+        x, keys = df, list(by)
+    else:
+        x, keys = _buckets(df, order, 1024), ["__b"]
+    w = Window.partitionBy(*keys).orderBy(order)
+    x = x.withColumn("__block", F.count(F.when(F.col(given).isNotNull(), 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inner = Window.partitionBy(*keys, "__block").orderBy(order)
+    start = F.first(given).over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("__n", F.row_number().over(inner)).withColumn("__start", F.when(F.col("__block") > 0, start))
+    if keys != ["__b"]:
+        return x.withColumn(out, F.coalesce(F.col("__start") - 1, F.lit(0)) + F.col("__n")).drop("__block", "__n", "__start")
+    # what each bucket's last row has, if a number is given in it
+    last = F.max(F.struct("__block", "__n", (F.col("__start") - 1 + F.col("__n")).alias("end")))["end"]
+    ends = x.groupBy("__b").agg(F.count(F.lit(1)).alias("__rows"), last.alias("__end"))
+    through = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__sum", F.sum("__rows").over(through))  # a row for each bucket
+    before = F.coalesce(F.last(F.col("__end") - F.col("__sum"), ignorenulls=True).over(earlier), F.lit(0)) + F.col("__sum") - F.col("__rows")
+    x = x.join(F.broadcast(ends.select("__b", before.alias("__before"))), "__b")
+    return x.withColumn(out, F.coalesce(F.col("__start") - 1, F.col("__before")) + F.col("__n")).drop("__b", "__block", "__n", "__start", "__before")
+
+
+def _buckets(df: DataFrame, order: str, buckets: int) -> DataFrame:
+    """df with __b: the bucket, of equal parts of the range of a numeric column; -1 for a null."""
+    ends = df.agg(F.min(order).cast("double").alias("__lo"), F.max(order).cast("double").alias("__hi"))
+    place = (F.col(order).cast("double") - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1) * buckets
+    x = df.crossJoin(F.broadcast(ends))  # one row
+    return x.withColumn("__b", F.when(place.isNull(), -1).otherwise(F.least(F.floor(place), F.lit(buckets - 1)).cast("int"))).drop("__lo", "__hi")
 
 
 def dense_ids(df: DataFrame, order: str, *ties: str, out: str, buckets: int = 1024) -> DataFrame:
     """df with ranks from 0 by a numeric column: rows are ranked within buckets of its range, and the buckets' sizes summed up, so no task sees all rows."""
-    ends = df.agg(F.min(order).cast("double").alias("__lo"), F.max(order).cast("double").alias("__hi"))
-    place = (F.col(order) - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1) * buckets
-    x = df.crossJoin(F.broadcast(ends)).withColumn("__b", F.least(F.floor(place), F.lit(buckets - 1)).cast("int")).drop("__lo", "__hi")  # one row
+    x = _buckets(df, order, buckets)
     sizes = x.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("__b", before.alias("__before"))  # a row for each bucket

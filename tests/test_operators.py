@@ -78,3 +78,33 @@ def test_plans_stay_in_the_engine(spark, small, capsys):
     plan = capsys.readouterr().out
     assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_quantity:double,l_discount:double,l_tax:double>" in plan
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_numbering_without_groups_is_many_tasks(spark):
+    """Like a loop, with given numbers anywhere, and by buckets."""
+    import random
+
+    rng = random.Random(2)
+    for share in (0.0, 0.02, 0.5):
+        orders = rng.sample(range(100_000), 800)
+        rows = [(o, rng.randrange(10_000) if rng.random() < share else None) for o in orders] + [(None, None)]
+        df = spark.createDataFrame(rows, "o long, given long")
+        want, now = {}, 0
+        for o, g in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+            now = g if g is not None else now + 1
+            want[o] = now
+        numbered = C.number_rows(df, "given", "o")
+        assert {r.o: r.row for r in numbered.collect()} == want
+        assert numbered.columns == ["o", "given", "row"]
+    words = spark.createDataFrame([("b", None), ("a", 5), ("c", 9), ("d", None)], "o string, given long")
+    assert {r.o: r.row for r in C.number_rows(words, "given", "o").collect()} == {"a": 5, "b": 6, "c": 9, "d": 10}
+    assert C.number_rows(df.limit(0), "given", "o").count() == 0
+
+
+def test_filling_is_many_tasks(spark):
+    df = spark.createDataFrame([(200_000, "x"), (3, "y")], "row int, v string")
+    out = C.fill_rows(df, "row")
+    assert tuple(out.selectExpr("count(*)", "sum(row)", "count(v)").first()) == (200_000, 200_000 * 200_001 // 2, 2)
+    both = spark.createDataFrame([("a", 3, 1), ("b", 0, 1), ("b", 2, 1)], "g string, row int, v int")
+    assert sorted((r.g, r.row) for r in C.fill_rows(both, "row", by=["g"]).collect()) == [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2)]
+    assert C.fill_rows(df.limit(0), "row").count() == 0
