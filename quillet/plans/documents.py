@@ -64,6 +64,35 @@ def xlsx_sparse_model(s, d) -> DataFrame:
     return s.read.format("xlsx").load(path).select("row", "col", "kind", "text")
 
 
+@query("SELECT n_nationkey + 1 AS row, n_regionkey + 1 AS col, 'string' AS kind, n_name AS text FROM nation")
+def xlsx_encrypted_cells(s, d) -> DataFrame:
+    path = os.path.join(scratch(s, "sparse"), "secret.xlsx")
+    cells = _t(s, d, "nation").select(F.lit("S").alias("sheet"), (F.col("n_nationkey") + 1).alias("row"), (F.col("n_regionkey") + 1).alias("col"), F.col("n_name").alias("value"), F.lit(None).cast("string").alias("formula"))
+    xlsx_writer.write_cells(path, cells, options=xlsx_writer.Options(password="correct horse"))
+    xlsx.register(s)
+    return s.read.format("xlsx").option("password", "correct horse").load(path).select("row", "col", "kind", "text")
+
+
+@query("SELECT n_nationkey + 1 AS row, 'blank' AS kind, 'B' || (n_nationkey + 1) || '*' || n_regionkey AS formula FROM nation")
+def xlsx_formulas(s, d) -> DataFrame:
+    path = os.path.join(scratch(s, "formulas"), "formulas.xlsx")
+    n = F.col("n_nationkey") + 1
+    cells = _t(s, d, "nation").select(F.lit("S").alias("sheet"), n.alias("row"), F.lit(1).alias("col"), F.lit(None).cast("string").alias("value"), F.concat(F.lit("B"), n, F.lit("*"), "n_regionkey").alias("formula"))
+    xlsx_writer.write_cells(path, cells)
+    xlsx.register(s)
+    return s.read.format("xlsx").load(path).select("row", "kind", "formula")
+
+
+@query("SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS price FROM orders")
+def xlsx_rolled_over(s, d) -> DataFrame:
+    """One task's rows in workbooks of a thousand."""
+    xlsx.register(s)
+    folder = scratch(s, "orders")
+    rows = _t(s, d, "orders").select("o_orderkey", "o_orderstatus", F.round(F.col("o_totalprice").cast("double"), 2).alias("price"))
+    rows.coalesce(1).write.format("xlsx").option("maxRowsPerFile", 1000).mode("append").save(folder)
+    return xlsx.read_typed(s, folder, "o_orderkey BIGINT, o_orderstatus STRING, price DOUBLE")
+
+
 @query("SELECT r AS row, c AS col, t AS text FROM (SELECT n_nationkey + 2 AS r, unnest([1, 2]) AS c, unnest([n_name, 'x']) AS t FROM nation) UNION ALL SELECT 1, unnest([1, 2]), unnest(['n_name', 'k'])")
 def xlsx_stream(s, d) -> DataFrame:
     folder, out = scratch(s, "incoming"), scratch(s, "cells")
