@@ -105,9 +105,10 @@ def fold(buf: np.ndarray) -> np.ndarray:
 
 def word_mask(buf: np.ndarray) -> np.ndarray:
     m = _WORD[buf]
-    if len(buf) > 2 and (buf >= 0x80).any():
+    if len(buf) > 1 and (buf >= 0x80).any():
         two = np.flatnonzero(buf[:-1] == 0xC2)
         m[two] = m[two + 1] = False
+        # of shorter buffers both slices are empty
         tri = np.flatnonzero(((buf[:-2] == 0xE2) & ((buf[1:-1] == 0x80) | (buf[1:-1] == 0x81))) | ((buf[:-2] == 0xE3) & (buf[1:-1] == 0x80)))
         for k in range(3):
             m[tri + k] = False

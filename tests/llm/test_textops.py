@@ -61,3 +61,9 @@ def test_chunks_cover_everything_once():
     off = np.array([0, 5, 5, 100, 101, 102])
     assert list(T.chunks(off, 10)) == [(0, 2), (2, 3), (3, 5)]
     assert list(T.chunks(np.array([0]), 10)) == []
+
+
+def test_a_buffer_of_one_sign():
+    for t in ("\x80", "\xa0", "–", "é", "a"):
+        w = T.Words(*T.flat(pa.array([t])))
+        assert len(w.hash) == len(naive_words(t))
