@@ -18,6 +18,9 @@ same rows.  Rows with equal fingerprints are one node, so a text with a million
 copies costs one node and no pairs of copies.  Beyond 2**24 distinct fingerprints
 the keys widen with the corpus, which holds shards to about 256 rows on average.
 All shards of a task are built and searched together, level by level, in NumPy.
+A dense group of n fingerprints has n * n / 2 near pairs in each shard; groups need
+only what joins it, so a task keeps a spanning forest of its pairs, fewer than it has
+rows, and no query looks below nodes that are all of its own component already.
 
 Groups are the connected components of near copies (large-star / small-star, each
 round a written table); the document with the least id stays.
@@ -31,6 +34,7 @@ each in its own group: what goes is told by id and fingerprint.  Other columns a
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +91,7 @@ class Forest:
         first[1:] = shard[1:] != shard[:-1]
         self.root = np.maximum.accumulate(np.where(first, np.arange(n), 0))
         parent, edge = np.full(n, -1), np.zeros(n, np.int64)
+        self.levels = []
         left, at = np.flatnonzero(~first), self.root[~first]
         while len(left):
             # the first to come to a node by an edge becomes its child; the others go on to that child
@@ -95,6 +100,7 @@ class Forest:
             _, lead, inverse = np.unique(slot, return_index=True, return_inverse=True)
             child = left[lead]
             parent[child], edge[child] = at[lead], d[lead]
+            self.levels.append(child)
             stay = np.ones(len(left), bool)
             stay[lead] = False
             left, at = left[stay], child[inverse[stay]]
@@ -102,33 +108,109 @@ class Forest:
         slot = parent[kids] * (BITS + 1) + edge[kids]
         order = np.argsort(slot, kind="stable")
         self.kids, self.slots = kids[order], slot[order]
-
-    def pairs(self, radius: int, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
-        """(i, j) with i > j in one tree and at most `radius` apart, every point being a query."""
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for a in range(0, len(self.points), block):
-            stack = [(np.arange(a, min(a + block, len(self.points))), self.root[a : a + block])]
-            while stack:
-                q, node = stack.pop()
-                if len(q) > 8 * block:
-                    half = len(q) // 2
-                    stack += [(q[:half], node[:half]), (q[half:], node[half:])]
-                    continue
+        self.parent, self.edge = parent, edge
+
+    def near(self, radius: int, block: int = 1 << 15, queries: np.ndarray | None = None, skip: tuple[np.ndarray, ...] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pieces of (i, j) with i > j in one tree and at most `radius` apart, i being a query (every point is, if none are given).
+
+        However many pairs there are, some `block` visits are held at once.  `skip`: the points' components, and the least and
+        greatest ones below each node; nodes below which all are of the query's own component aren't looked at.
+        """
+        queries = np.arange(len(self.points)) if queries is None else queries
+        for a in range(0, len(queries), block):
+            q = queries[a : a + block]
+            node, stack = self.root[q], []
+            while True:
                 d = distance(self.points[q], self.points[node])
                 hit = (d <= radius) & (node < q)
-                found.append((q[hit], node[hit]))
+                if hit.any():
+                    yield q[hit], node[hit]
                 lo = np.searchsorted(self.slots, node * (BITS + 1) + np.maximum(d - radius, 0), "left")
-                hi = np.searchsorted(self.slots, node * (BITS + 1) + np.minimum(d + radius, BITS), "right")
+                c = np.searchsorted(self.slots, node * (BITS + 1) + np.minimum(d + radius, BITS), "right") - lo
+                some = c > 0
+                if some.any():
+                    stack.append((q[some], lo[some], c[some]))
+                if not stack:
+                    break
+                q, lo, c = stack.pop()
+                k = max(1, int(np.searchsorted(np.cumsum(c), block, "right")))
+                if k < len(q):
+                    stack.append((q[k:], lo[k:], c[k:]))
+                    q, lo, c = q[:k], lo[:k], c[:k]
+                node = self.kids[np.repeat(lo, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
+                q = np.repeat(q, c)
                 # a later point is inserted below an earlier one, so a query never needs nodes that came after it
-                c = hi - lo
-                if c.sum():
-                    kid = self.kids[np.repeat(lo, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
-                    q = np.repeat(q, c)
-                    ok = kid < q
-                    stack.append((q[ok], kid[ok]))
-        i, j = zip(*found)
+                ok = node < q
+                if skip is not None:
+                    label, low, high = skip
+                    ok &= (low[node] != label[q]) | (high[node] != label[q])
+                q, node = q[ok], node[ok]
+
+    def pairs(self, radius: int, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j) with i > j in one tree and at most `radius` apart, every point being a query."""
+        i, j = zip((np.zeros(0, np.int64), np.zeros(0, np.int64)), *self.near(radius, block))
         return np.concatenate(i), np.concatenate(j)
 
+    def links(self, radius: int, block: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pieces of a spanning forest of pairs(): the same components from fewer pairs than points.
+
+        The last point of each tree is a query first, then twice as many at a time, so that a dense group is one component
+        after few queries, and the others needn't compare its points with each other.
+        """
+        label = np.arange(len(self.points))
+        near = np.flatnonzero((self.parent >= 0) & (self.edge <= radius))
+        yield join(label, near, self.parent[near])
+        first = np.flatnonzero(self.root == label)
+        size = np.diff(np.append(first, len(label)))
+        turn = np.log2(np.repeat(first + size, size) - np.arange(len(label))).astype(np.int64)
+        order = np.argsort(turn, kind="stable")
+        for part in np.split(order, np.cumsum(np.bincount(turn))[:-1] if len(turn) else []):
+            for a in range(0, len(part), block):
+                low, high = label.copy(), label.copy()
+                for level in reversed(self.levels):
+                    np.minimum.at(low, self.parent[level], low[level])
+                    np.maximum.at(high, self.parent[level], high[level])
+                for i, j in self.near(radius, block, part[a : a + block], (label, low, high)):
+                    new = label[i] != label[j]
+                    if new.any():
+                        yield join(label, i[new], j[new])
+
+
+def join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joins the components of i and j in `label` (the least point of each point's component); returns those pairs that it took."""
+    took = [(i[:0], j[:0])]
+    while True:
+        a, b = label[i], label[j]
+        differ = a != b
+        if not differ.any():
+            break
+        i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        order = np.lexsort((low, high))
+        lead = order[np.append(True, np.diff(high[order]) > 0)]
+        label[high[lead]] = low[lead]
+        took.append((i[lead], j[lead]))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label[:] = up
+    i, j = zip(*took)
+    return np.concatenate(i), np.concatenate(j)
+
+
+def gathered(pieces: Iterator[tuple[np.ndarray, np.ndarray]], size: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pieces of pairs put together to `size` or somewhat more."""
+    held, n = [], 0
+    for piece in pieces:
+        held.append(piece)
+        n += len(piece[0])
+        if n >= size:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
 
 def key_places(key_bits: int, tables: int) -> np.ndarray:
     """(tables, key_bits) places of bits: disjoint blocks of one permutation after another."""
@@ -184,10 +266,16 @@ def fingerprint_table(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     return docs.mapInArrow(run, f"id {kind}, hi long, lo long")
 
 
-def near_pairs(nodes: DataFrame, radius: int, n: int, recall: float) -> DataFrame:
-    """(a, b, distance), a < b, of nodes (rep, hi, lo) at most `radius` apart, each pair once."""
+def near_pairs(nodes: DataFrame, radius: int, n: int, recall: float, *, spanning: bool = False) -> DataFrame:
+    """(a, b, distance), a < b, of nodes (rep, hi, lo) at most `radius` apart, each pair once.
+
+    `spanning`: only as many of them as have the same components, fewer than the rows of all shards.
+    """
     key_bits, tables = layout(n, radius, recall)
     places = key_places(key_bits, tables)
+    masks = np.zeros((tables, BITS), np.uint8)
+    np.put_along_axis(masks, places, 1, 1)
+    masks = np.packbits(masks, axis=1).view(np.uint64)
     kind = nodes.schema["rep"].dataType.simpleString()
 
     def spread(batches):
@@ -217,19 +305,18 @@ def near_pairs(nodes: DataFrame, radius: int, n: int, recall: float) -> DataFram
     def probe(table):
         shard = table["shard"].to_numpy()
         points = np.stack([table[c].to_numpy().view(np.uint64) for c in ("hi", "lo")], 1)
-        i, j = Forest(points, shard).pairs(radius)
-        if not len(i):
-            return
-        # the pair belongs to the first table under whose key it agrees
-        differ = np.unpackbits((points[i] ^ points[j]).view(np.uint8).reshape(len(i), -1), axis=1).astype(bool)
-        first = np.full(len(i), tables)
-        for t in range(tables - 1, -1, -1):
-            first[~differ[:, places[t]].any(1)] = t
-        own = first == (shard[i] & 0xFFFF)
-        i, j = i[own], j[own]
         rep = table["rep"].combine_chunks()
-        d = distance(points[i], points[j])
-        yield pa.RecordBatch.from_arrays([rep.take(pa.array(i)), rep.take(pa.array(j)), pa.array(d, pa.int32())], ["a", "b", "distance"])
+        forest = Forest(points, shard)
+        for i, j in gathered(forest.links(radius) if spanning else forest.near(radius)):
+            # the pair belongs to the first table under whose key it agrees; of a spanning forest, that table's own joins its ends too
+            differ = points[i] ^ points[j]
+            first = np.full(len(i), tables)
+            for t in range(tables - 1, -1, -1):
+                first[~(differ & masks[t]).any(1)] = t
+            own = first == (shard[i] & 0xFFFF)
+            i, j = i[own], j[own]
+            d = distance(points[i], points[j])
+            yield pa.RecordBatch.from_arrays([rep.take(pa.array(i)), rep.take(pa.array(j)), pa.array(d, pa.int32())], ["a", "b", "distance"])
 
     rows = nodes.select("rep", "hi", "lo").mapInArrow(spread, f"shard long, rep {kind}, hi long, lo long")
     rows = rows.repartition("shard").sortWithinPartitions("shard", "rep")
@@ -261,7 +348,7 @@ def _grouped(documents: DataFrame, radius: int, recall: float, id_col: str, text
     docs = written(fingerprint_table(documents, id_col=id_col, text_col=text_col).distinct(), "prints")
     nodes = docs.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    pairs = written(near_pairs(nodes.select(F.col("node").alias("rep"), "hi", "lo"), radius, nodes.count(), recall), "pairs")
+    pairs = written(near_pairs(nodes.select(F.col("node").alias("rep"), "hi", "lo"), radius, nodes.count(), recall, spanning=True), "pairs")
     roots = components(pairs)
     roots = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
     member = nodes.join(roots, "node", "left").where("n > 1 or root is not null")

@@ -153,3 +153,62 @@ def test_an_id_of_several_texts_loses_the_copies_alone(spark):
     # one id alone with near copies is a group, of which one text stays
     own = spark.createDataFrame([(1, a), (1, near), (2, b)], "doc_id long, text string")
     assert [tuple(r)[:2] for r in S.groups(own).collect()] == [(1, 1)] and S.drop_copies(own).count() == 2
+
+
+def dense(n, far, seed):
+    """Fingerprints of a dense group of n, and of `far` others, in any order."""
+    rng = np.random.default_rng(seed)
+    near = rng.integers(0, 2**63, 2, dtype=np.uint64) ^ np.packbits(rng.random((n, 128)) < 0.05, axis=1).view(np.uint64)
+    return rng.permutation(np.concatenate([near, rng.integers(0, 2**63, (far, 2), dtype=np.uint64)]))
+
+
+def test_links_have_the_components_of_all_pairs():
+    rng = np.random.default_rng(6)
+    # groups of every density up to chains of pairs just within the radius
+    parts = [dense(150, 60, 1), dense(40, 0, 2)]
+    for share in (0.05, 0.08, 0.09, 0.1):
+        parts.append(parts[0][0] ^ np.packbits(rng.random((80, 128)) < share, axis=1).view(np.uint64))
+    points = rng.permutation(np.concatenate(parts))
+    shard = np.sort(rng.integers(0, 3, len(points)))
+    for r in (0, 3, 14, 17, 20, 64, 128):
+        f = S.Forest(points, shard)
+        i, j = f.pairs(r)
+        want = naive_components(zip(i.tolist(), j.tolist()))
+        for block in (7, 1 << 15):
+            pieces = list(f.links(r, block))
+            a, b = (np.concatenate(x) for x in zip(*pieces))
+            assert (S.distance(points[a], points[b]) <= r).all() and (shard[a] == shard[b]).all()
+            got = naive_components(zip(a.tolist(), b.tolist()))
+            assert got == want and len(a) == len(want) - len(set(want.values()))
+    assert sum(len(a) for a, _ in S.Forest(points[:0], shard[:0]).links(20)) == 0
+
+
+def test_a_dense_group_is_searched_in_little_memory():
+    import tracemalloc
+
+    points = dense(2500, 500, 3)
+    f = S.Forest(points, np.zeros(len(points), np.int64))
+    tracemalloc.start()
+    links = sum(len(i) for i, _ in f.links(20, 4096))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    pairs = sum(len(i) for i, _ in f.near(20, 4096))
+    assert max(peak, tracemalloc.get_traced_memory()[1]) < 20e6 < 16 * pairs
+    tracemalloc.stop()
+    assert links < len(points)
+
+
+def test_groups_write_no_square_of_a_dense_group(spark, monkeypatch):
+    """Of a thousand different near copies, half a million pairs, a table keeps what joins them."""
+    base = text(1)
+    docs = spark.createDataFrame([(i, " ".join([*base, f"new{i}", f"more{i}", f"{i}th"])) for i in range(1000)], "doc_id long, text string")
+    rows = {}
+
+    def written(df, tag, write=S.written):
+        table = write(df, tag)
+        rows[tag] = max(rows.get(tag, 0), table.count())
+        return table
+
+    monkeypatch.setattr(S, "written", written)
+    assert [tuple(r) for r in S.groups(docs).groupBy("keep_id").count().collect()] == [(0, 1000)]
+    assert 500 < rows["nodes"] <= 1000 and rows["pairs"] < rows["nodes"] * S.layout(1000, 20, 0.9)[1]
