@@ -67,3 +67,18 @@ def test_null_and_empty_rows_pass(spark, small, tmp_path):
     assert C.STAGES[-1][1](spark, x, small).where("doc_id in (77777, 88888)").count() == 2
     for _, stage in C.STAGES:
         assert stage(spark, docs.limit(0), small).count() == 0
+
+
+def test_near_dedup_writes_no_square_of_a_dense_group(spark, small, monkeypatch):
+    base = " ".join(f"word{i}" for i in range(200))
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit(f"{base} new"), "id", F.lit(" more"), "id").alias("text"))
+    rows = {}
+
+    def written(df, tag, write=simhash.written):
+        table = write(df, tag)
+        rows[tag] = max(rows.get(tag, 0), table.count())
+        return table
+
+    monkeypatch.setattr(simhash, "written", written)
+    assert [r.doc_id for r in dict(C.STAGES)["near_dedup"](spark, docs, small).collect()] == [0]
+    assert 0 < rows["pairs"] < rows["nodes"] * simhash.layout(600, 20, 0.9)[1]
