@@ -34,19 +34,21 @@ each in its own group: what goes is told by id and fingerprint.  Other columns a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import need, signed, written
+from .common import DigestArray, need, signed, written
 from .textops import Words, chunks, flat, mix
 
 BITS = 128
 RADIUS = 20
 RECALL = 0.9
+#: Rows of all shards that one task makes, about.
+SPREAD_ROWS = 1 << 20
 
 _LANES = np.array([sum(((b >> (7 - j)) & 1) << (8 * j) for j in range(8)) for b in range(256)], np.uint64)
 
@@ -318,7 +320,9 @@ def near_pairs(nodes: DataFrame, radius: int, n: int, recall: float, *, spanning
             d = distance(points[i], points[j])
             yield pa.RecordBatch.from_arrays([rep.take(pa.array(i)), rep.take(pa.array(j)), pa.array(d, pa.int32())], ["a", "b", "distance"])
 
-    rows = nodes.select("rep", "hi", "lo").mapInArrow(spread, f"shard long, rep {kind}, hi long, lo long")
+    # each task sorts its own rows for the shuffle, so it is given a bounded number of them
+    rows = nodes.select("rep", "hi", "lo").repartition(max(1, math.ceil(n * tables / SPREAD_ROWS)))
+    rows = rows.mapInArrow(spread, f"shard long, rep {kind}, hi long, lo long")
     rows = rows.repartition("shard").sortWithinPartitions("shard", "rep")
     found = rows.mapInArrow(search, f"a {kind}, b {kind}, distance int")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
@@ -368,19 +372,31 @@ def groups(documents: DataFrame, *, radius: int = RADIUS, recall: float = RECALL
     return rows.toDF(id_col, "keep_id", "distance")
 
 
+def _listed(table: DataFrame, key: str, tag: str) -> Callable[[Column], Column]:
+    """Whether a key is in the table, by a map over the keys alone: rows keep their place, and their texts aren't shuffled."""
+    known = DigestArray.store(table, key, None, tag)
+
+    def has(keys: pa.Array) -> pa.Array:
+        return pa.array(known.has(keys.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return F.arrow_udf(has, "boolean")
+
+
 def drop_copies(documents: DataFrame, *, radius: int = RADIUS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, and all the others; columns stay, and a row that repeats an id and its fingerprint goes."""
     found = _grouped(documents, radius, recall, id_col, text_col)
     gone = written(found.where("id <> kept.id or hi <> kept.hi or lo <> kept.lo").select("id", "hi", "lo"), "gone")
-    again = documents.where(documents[id_col].isNotNull()).groupBy(documents[id_col].alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    key = F.xxhash64(documents[id_col])
+    again = documents.where(documents[id_col].isNotNull()).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     again = written(again, "again")
+    # a key of one row alone tells that row, whatever its id
+    drops = _listed(gone.select(F.xxhash64("id").alias("key")), "key", "gone-keys")(key)
     if again.isEmpty():
-        return documents.join(gone.hint("shuffle_hash"), documents[id_col] == gone["id"], "left_anti")
-    # ids of several rows are told apart by fingerprint
-    some = gone.join(again, "id", "left_anti")
-    once = documents.join(again, documents[id_col] == again["id"], "left_anti")
-    once = once.join(some.hint("shuffle_hash"), once[id_col] == some["id"], "left_anti")
-    more = documents.join(again, documents[id_col] == again["id"], "left_semi")
+        return documents.where(documents[id_col].isNull() | ~drops)
+    # ids of several rows, and other ids of one key, are told apart by id and fingerprint
+    several = _listed(again, "key", "again-keys")(key)
+    once = documents.where(documents[id_col].isNull() | (~several & ~drops))
+    more = documents.where(documents[id_col].isNotNull() & several)
     more = more.select(F.struct("*").alias("row"), more[id_col].alias("id"), more[text_col].alias("text"), F.arrow_udf(_print_column, "struct<hi:long,lo:long>")(more[text_col]).alias("fp"))
     more = more.join(gone.toDF("gone", "hi", "lo"), (F.col("id") == F.col("gone")) & (F.col("fp.hi") == F.col("hi")) & (F.col("fp.lo") == F.col("lo")), "left_anti")
     place = F.row_number().over(Window.partitionBy("id", "fp").orderBy("text", F.to_json("row")))

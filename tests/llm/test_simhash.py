@@ -155,6 +155,37 @@ def test_an_id_of_several_texts_loses_the_copies_alone(spark):
     assert [tuple(r)[:2] for r in S.groups(own).collect()] == [(1, 1)] and S.drop_copies(own).count() == 2
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_distinct_ids_are_not_shuffled(spark):
+    a, b = (" ".join(text(s)) for s in (1, 2))
+    near = a.replace(a.split()[5], "changed")
+    rows = [(1, a, 1), (2, near, 2), (3, b, 3), (None, a, 4), (5, None, 5), (6, "", 6), (7, b, 7)]
+    for kind in ("long", "string", "decimal(20,0)"):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, n long").withColumn("doc_id", F.col("doc_id").cast(kind))
+        left = S.drop_copies(docs)
+        assert "Exchange" not in plan(left) and "Join" not in plan(left)
+        assert left.schema == docs.schema and sorted(r.n for r in left.collect()) == [1, 3, 4, 5, 6]
+
+
+def test_ids_of_one_key_are_told_apart(spark, monkeypatch):
+    a, b = (" ".join(text(s)) for s in (1, 2))
+    rows = [(1, a, 1), (2, a, 2), (3, b, 3), (4, None, 4), (None, a, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    monkeypatch.setattr(S.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    assert sorted(r.n for r in S.drop_copies(docs).collect()) == [1, 3, 4, 5]
+
+
+def test_rows_of_all_shards_are_made_by_many_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    nodes = spark.createDataFrame([(i, int(h), int(l)) for i, (h, l) in enumerate(rng.integers(-(2**63), 2**63, (1000, 2)))], "rep long, hi long, lo long").coalesce(1)
+    monkeypatch.setattr(S, "SPREAD_ROWS", 5000)
+    # 34 keys of 1000 rows
+    assert "RoundRobinPartitioning(7)" in plan(S.near_pairs(nodes, 20, 1000, 0.9))
+
+
 def dense(n, far, seed):
     """Fingerprints of a dense group of n, and of `far` others, in any order."""
     rng = np.random.default_rng(seed)
