@@ -32,10 +32,10 @@ def column_number(letters: str | Column) -> Column:
     return F.when(s.rlike("^[A-Z]{1,3}$"), n.cast("int"))
 
 
-def a1(row: str | Column, column: str | Column) -> Column:
-    """The address of a cell; null where the sheet has no such cell."""
-    r = _c(row).cast("int")
-    return F.when(r.between(1, MAX_ROWS), F.concat(column_letters(column), r.cast("string")))
+def a1(row: str | Column, column: str | Column, *, rows: int | None = MAX_ROWS) -> Column:
+    """The address of a cell; null where a sheet of so many rows (None: any number) has no such cell."""
+    r = _c(row).cast("long")
+    return F.when(r >= 1 if rows is None else r.between(1, rows), F.concat(column_letters(column), r.cast("string")))
 
 
 def a1_row(address: str | Column) -> Column:

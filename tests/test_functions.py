@@ -1,9 +1,11 @@
 import datetime as dt
 import hashlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from quillet import functions as Q
 from quillet.operators.pages import PageSelection, pages_of_spec, parse_range
 from quillet.operators.rules import Validation
@@ -25,6 +27,18 @@ def test_addresses(spark, address, row, col):
     assert tuple(one(spark, Q.a1_row(F.lit(address)), Q.a1_column(F.lit(address)))) == (row, col)
 
 
+def test_addresses_beyond_a_sheet(spark, tmp_path):
+    """a1() knows the sheet's end; the queries address a table's rows beyond it, as their SQL does."""
+    assert tuple(one(spark, Q.a1(F.lit(1_048_576), F.lit(16_384)), Q.a1(F.lit(1_048_577), F.lit(1)), Q.a1(F.lit(0), F.lit(1), rows=None), Q.a1(F.lit(2**31), F.lit(1), rows=None))) == ("XFD1048576", None, None, "A2147483648")
+    keys = [0, 1_048_574, 1_048_575, 1_048_576, 8_999_999, 2**31 - 2]
+    spark.createDataFrame([(k, k % 900_000) for k in keys], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    with duckdb.connect() as duck:
+        duck.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+        for name in ("a1_address",):
+            got = [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).orderBy("o_orderkey").collect()]
+            assert got == duck.execute(entry.oracle_sql()[name] + " ORDER BY o_orderkey").fetchall() and len(got) == len(keys)
+
+
 @pytest.mark.parametrize("value,days", [("2026-01-15 14:30:45", 46037.6046875), ("1899-12-31 12:00:00", 1.5), ("1900-03-01 00:00:00", 61.0)])
 def test_serials(spark, value, days):
     r = one(spark, Q.serial(F.lit(value)), Q.from_serial(F.lit(days)), Q.from_serial(F.lit(days - 1462), date1904=True))
