@@ -34,7 +34,7 @@ def test_addresses_beyond_a_sheet(spark, tmp_path):
     spark.createDataFrame([(k, k % 900_000) for k in keys], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     with duckdb.connect() as duck:
         duck.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
-        for name in ("a1_address",):
+        for name in ("a1_address", "a1_parse"):
             got = [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).orderBy("o_orderkey").collect()]
             assert got == duck.execute(entry.oracle_sql()[name] + " ORDER BY o_orderkey").fetchall() and len(got) == len(keys)
 
