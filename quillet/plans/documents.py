@@ -85,11 +85,11 @@ def xlsx_formulas(s, d) -> DataFrame:
 
 @query("SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS price FROM orders")
 def xlsx_rolled_over(s, d) -> DataFrame:
-    """One task's rows in workbooks of a thousand."""
+    """Each task's rows in workbooks of a thousand."""
     xlsx.register(s)
     folder = scratch(s, "orders")
     rows = _t(s, d, "orders").select("o_orderkey", "o_orderstatus", F.round(F.col("o_totalprice").cast("double"), 2).alias("price"))
-    rows.coalesce(1).write.format("xlsx").option("maxRowsPerFile", 1000).mode("append").save(folder)
+    xlsx_writer.balanced(rows).write.format("xlsx").option("maxRowsPerFile", 1000).mode("append").save(folder)
     return xlsx.read_typed(s, folder, "o_orderkey BIGINT, o_orderstatus STRING, price DOUBLE")
 
 

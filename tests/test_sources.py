@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillet.operators.export import ExportPlan, first_headers, pick, with_sheet_name
 from quillet.operators.rules import Validation
+from quillet.plans import documents
 from quillet.plans.documents import stress_rows
 from quillet.sources import archive, compound, docx, docx_writer, encryption, envelope, images, package, xlsx, xlsx_writer
 from quillet.sources.xlsx_writer import CellStyle, Commented, Formula, Link, Options, Sheet, Styled, WorkbookWriter
@@ -402,6 +403,23 @@ def test_a_task_rolls_over_to_the_next_workbook(spark, tmp_path):
     assert xlsx_writer.balanced(spark.range(100), 30).rdd.getNumPartitions() == 4
 
 
+def test_rolled_over_rows_are_many_tasks(spark, tmp_path, monkeypatch):
+    """Neither one task for all rows nor a task for each small workbook."""
+    spark.range(150_000).selectExpr("id as o_orderkey", "'F' as o_orderstatus", "id / 4 as o_totalprice").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    out = tmp_path / "out"
+    out.mkdir()
+    monkeypatch.setattr(documents, "scratch", lambda s, tag: str(out))
+    df = documents.xlsx_rolled_over(spark, str(tmp_path))
+    written = xlsx._files(str(out))
+    assert 150 <= len(written) <= 153
+    assert 3 <= df.rdd.getNumPartitions() <= 8
+    assert tuple(df.selectExpr("count(*)", "count(distinct o_orderkey)", "sum(o_orderkey)", "sum(price)").first()) == (150_000, 150_000, 149_999 * 75_000, 149_999 * 75_000 / 4)
+    packed = xlsx._packed(written)
+    assert [p for x in packed for p in x] == written and all(sum(map(os.path.getsize, x)) <= xlsx.PACK_BYTES for x in packed)
+    monkeypatch.setattr(xlsx, "PACK_BYTES", 1)
+    assert xlsx._packed(written) == [[p] for p in written]
+
+
 def test_a_failed_write_leaves_nothing(spark, tmp_path):
     xlsx.register(spark)
     out = str(tmp_path / "bad")
