@@ -6,7 +6,10 @@ import re
 import struct
 import zipfile
 import zlib
+from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -370,6 +373,91 @@ def test_columns_are_the_cells(monkeypatch):
     assert columns_as_cells(xlsx.Workbook(dates)) == list(xlsx.Workbook(dates).cells(0))
 
 
+POOLS = {
+    "i": ([None, 0, -5, 2**63 - 1], pa.int64()),
+    "b": ([True, False, None], pa.bool_()),
+    "f": ([1.5, None, 0.1 + 0.2, 1e300, -0.0, 1e16, 123456789.123, 5e-324, 10.0], pa.float64()),
+    "n": ([1.5, None, float("nan"), float("inf"), -float("inf")], pa.float64()),
+    "d": ([Decimal("1.10"), None, Decimal("-3.25")], pa.decimal128(12, 2)),
+    "D": ([dt.date(2020, 1, 1), None, dt.date(1, 1, 1), dt.date(9999, 12, 31)], pa.date32()),
+    "T": ([dt.datetime(2020, 1, 1), dt.datetime(2020, 1, 1, 3, 4, 5, 678901), None], pa.timestamp("us")),
+    "s": (["a", "", None, " x", "x ", "a&b", "<", ">", "\xa0x", "x\u2003", "é", "aé", "x\x07y", "l1\nl2", "\t", "x\n", "\ufffe", "m\uffffn"], pa.string()),
+    "z": ([None], pa.string()),
+}
+
+
+def test_batches_are_written_like_rows():
+    rng = random.Random(5)
+    for inline in (True, False):
+        for n in (0, 1, 300):
+            batch = pa.RecordBatch.from_pydict({k: pa.array([rng.choice(v) for _ in range(n)], t) for k, (v, t) in POOLS.items()})
+            out = io.BytesIO()
+            w = WorkbookWriter(out, Options(inline_strings=inline))
+            w.add_sheet("S")
+            assert w.write_batch(batch.slice(0, n // 3)) + w.write_batch(batch.slice(n // 3)) == n
+            w.close()
+            want = book(("S", list(zip(*[c.to_pylist() for c in batch.columns]))), options=Options(inline_strings=inline))
+            assert repr(cells(out.getvalue())) == repr(cells(want))
+            assert repr(columns_as_cells(xlsx.Workbook(out.getvalue()))) == repr(list(xlsx.Workbook(want).cells(0)))
+    parts = [pa.RecordBatch.from_pydict({"a": list(range(k))}) for k in (3, 4, 1, 9, 2)]
+    assert [b["a"].to_pylist() for b in xlsx_writer._gathered(parts, 8)] == [[0, 1, 2, 0, 1, 2, 3, 0], list(range(9)), [0, 1]]
+    assert len(list(xlsx_writer._gathered(parts, 99, 1))) == 5 and not list(xlsx_writer._gathered([]))
+
+
+def test_plain_tables_pass_without_work_by_cell(monkeypatch):
+    """Columns of common types are written and read whole: no Python call, expression match or XML element for each cell."""
+    n = 1000
+    batch = pa.RecordBatch.from_pydict({"i": list(range(n)), "f": [k / 7 for k in range(n)], "s": [f"t{k % 9}" for k in range(n)], "T": [dt.datetime(2020, 1, 1 + k % 28) for k in range(n)], "b": [k % 2 == 0 for k in range(n)]})
+    for name in ("_text", "_cell"):
+        monkeypatch.setattr(WorkbookWriter, name, None)
+    for inline in (True, False):
+        out = io.BytesIO()
+        w = WorkbookWriter(out, Options(inline_strings=inline))
+        w.add_sheet("S")
+        w.write_batch(batch)
+        w.close()
+        with monkeypatch.context() as m:
+            m.setattr(xlsx.sheet_scan, "_TOKEN", None)
+            m.setattr(xlsx.Workbook, "cells", lambda *a: iter(()))
+            got = columns_as_cells(xlsx.Workbook(out.getvalue()))
+        assert [v for _, _, _, v, _ in got] == [v for r in zip(*[c.to_pylist() for c in batch.columns]) for v in r]
+
+
+def piece_cells(f, raw):
+    x = f(raw)
+    every = np.arange(len(x.row))
+    has = np.flatnonzero(x.has)
+    return [x.row.tolist(), x.col.tolist(), [x.kinds[k] for k in x.kind], x.style.tolist(), x.has.tolist(), x.in_place.tolist(), x.value(has).to_pylist(), x.text(x.has | x.in_place).to_pylist(), x.text(every % 2 == 0).to_pylist() if (x.has | x.in_place).all() else None, x.formula.to_pylist()]
+
+
+def test_tags_are_taken_as_the_expression_takes_them(monkeypatch):
+    """Whatever bytes are changed: a piece that the scan of tags accepts is one that the expression accepts, with the same cells."""
+    rng = random.Random(6)
+    rows = "".join(f'<row r="{r}" spans="1:4"><c r="A{r}"><v>{r}.5</v></c><c r="B{r}" s="1" t="s"><v>{r % 3}</v></c><c r="AC{r}" s="2"/><c r="XFD{r}" t="inlineStr"><is><t xml:space="preserve"> é{r}</t></is></c><c r="AD{r}" t="inlineStr"><is><t></t></is></c><c r="AE{r}"><f>A1&lt;2</f><v>1</v></c><c r="AF{r}"></c></row>' for r in (1, 2, 30, 999_999)).encode()
+    scan, good = xlsx.sheet_scan, 0
+    assert piece_cells(scan._by_tags, rows) == piece_cells(scan._by_tokens, rows)
+    for _ in range(3000):
+        x = bytearray(rows)
+        for _ in range(rng.randrange(1, 3)):
+            k = rng.randrange(len(x) - 2)
+            x[k : k + rng.randrange(0, 3)] = rng.choice([b"", b"<", b">", b"/", b'"', b" ", *[b"7", b"Z"] * 8, b"v", b"t", b"</v>", b"<v>", b"<c>", b"</row>", b"/>", b"\xff"])
+        try:
+            got = piece_cells(scan._by_tags, bytes(x))
+        except ValueError:
+            continue
+        good += 1
+        assert got == piece_cells(scan._by_tokens, bytes(x)), bytes(x)
+    assert good > 200
+    with pytest.raises(ValueError):
+        scan._by_tags(rows.replace(b"<v>1<", b"<v>>1<"))
+    # such a piece goes to the expression, not to the parser
+    w = xlsx.Workbook(book(("S", [["a>b", 1], ["x", 2.5], [">", True]]), options=Options(inline_strings=True)))
+    want, raw = list(w.cells(0)), w.package.read(w.sheets[0][1]).replace(b"&gt;", b">")
+    monkeypatch.setattr(w.package, "read", lambda name: raw)
+    monkeypatch.setattr(w, "cells", lambda *a: iter(()))
+    assert b"a>b" in raw and columns_as_cells(w) == want
+
+
 def test_typed_columns_like_single_values(spark, tmp_path):
     """Each type, from columns of one kind and of several, as convert() has it."""
     rng = random.Random(4)
